@@ -15,6 +15,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_prediction(table(spark, sf_dir, "documents"))
 
 
+def op2_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("rid", "comp")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,7 +30,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op6_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_minmax_hash, op6_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,6 +33,19 @@ class Buffer:
         ends = np.searchsorted(self.start, np.flatnonzero(line))
         self.words = np.diff(ends, prepend=0)
 
+    @classmethod
+    def of_raw(cls, texts: list[bytes]) -> Buffer:
+        """Words are the stretches without space, tab, line feed, vertical tab, form feed and return; A-Z are lowered."""
+        self = cls.__new__(cls)
+        self.bytes = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8).copy()
+        self.bytes[(self.bytes >= 9) & (self.bytes <= 13)] = 32
+        self.bytes[(self.bytes >= 65) & (self.bytes <= 90)] += 32
+        self.blank = self.bytes == 32
+        self.start = np.flatnonzero(self.blank[:-1] & ~self.blank[1:]) + 1
+        self.end = np.flatnonzero(~self.blank[:-1] & self.blank[1:]) + 1
+        self.words = np.diff(np.searchsorted(self.start, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+        return self
+
     def word_hash(self) -> np.ndarray:
         """64 bits of each whole word."""
         value = (self.bytes.astype(np.uint64) + np.uint64(0x9E37)) * np.uint64(0x9E3779B97F4A7C15)

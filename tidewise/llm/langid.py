@@ -185,7 +185,8 @@ def label_words(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
         while at < len(texts) and (at == first or size + len(texts[at]) < 1 << 20):
             size, at = size + len(texts[at]), at + 1
         buffer = Buffer(texts[first:at])
-        scores.append(model.emissions(buffer))
+        once, inverse = buffer.distinct()
+        scores.append(model.emissions(once)[inverse])
         words.append(buffer.words)
     lengths = np.concatenate(words) if words else np.zeros(0, np.int64)
     scores = np.concatenate(scores) if scores else np.zeros((0, len(model.languages)), np.float32)

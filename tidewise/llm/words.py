@@ -56,6 +56,18 @@ class Buffer:
         value[self.blank] = 0
         return mix(np.add.reduceat(value, self.start)) if len(self.start) else np.zeros(0, np.uint64)
 
+    def distinct(self) -> tuple[Buffer, np.ndarray]:
+        """A buffer of the different words, once each, and for every word its number among them."""
+        _, found, inverse = np.unique(self.word_hash(), return_index=True, return_inverse=True)
+        out = Buffer.__new__(Buffer)
+        length = self.end[found] - self.start[found] + 1
+        edge = np.cumsum(length) - length
+        place = np.repeat(self.start[found] - 1 - edge, length) + np.arange(int(length.sum()))
+        out.bytes = np.append(self.bytes[place], np.uint8(32))
+        out.blank = out.bytes == 32
+        out.start, out.end, out.words = edge + 1, edge + length, np.array([len(found)])
+        return out, inverse
+
     def _first(self) -> np.ndarray:
         """For each byte, where its word (or the last word before it) starts."""
         first = np.zeros(len(self.bytes), np.int64)

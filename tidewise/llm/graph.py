@@ -38,6 +38,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("u").alias("comp")).union(now.select("u", "u").distinct())
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after further links (a, b) between nodes, which may be new."""
+    a, b = comps.select(F.col("node").alias("a"), F.col("comp").alias("u")), comps.select(F.col("node").alias("b"), F.col("comp").alias("v"))
+    joined = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b"))
+    over = written(components(joined), "components").select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+    moved = comps.join(over, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp"))
+    fresh = over.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("over").alias("comp"))
+    return written(moved.union(fresh), "components")
+
+
+#: Rounds of comparing every member of an open bucket with one chosen member, before open pairs are compared one by one.
+ROUNDS = 8
+
+
 def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] = lambda nodes: None) -> DataFrame:
     """node, comp of every node that has a link; no pair of nodes that share a bucket is left undecided.
 
@@ -46,32 +60,47 @@ def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[st
     prepare(nodes): told once which nodes can be in a pair.
 
     First every member is compared with its bucket's smallest node only, which settles groups of copies of any size in
-    one comparison a copy. A pair that is still open then lies in two components; of such pairs only those
-    that are possible leave the join. Members in the smallest node's component are on one side of it only.
+    one comparison a copy. A pair that is still open then lies in two components. While the open pairs outnumber
+    the members, each open bucket's members are compared with a further member chosen by a hash, which joins groups whose members are
+    linked to many but not to all others. The pairs open at last are all compared, if possible() allows;
+    the members of a bucket's largest component are on one side only.
     """
     pivots = written(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "pivots")
     grouped = written(members.join(pivots, "bucket"), "grouped")
     nodes = written(grouped.select("node").distinct().join(features, "node").select("node", F.struct(*features.columns).alias("f")), "nodes")
     prepare(nodes.select("node"))
     left, right = nodes.select(F.col("node").alias("a"), F.col("f").alias("x")), nodes.select(F.col("node").alias("b"), F.col("f").alias("y"))
-    star = grouped.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    linked = written(verify(star.join(left, "a").join(right, "b").where(possible("x", "y")).select("a", "b")), "links")
-    first = written(components(linked), "components")
-    named = grouped.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = named.join(first.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot", "left").withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot"))
-    minor = written(named.where("comp <> pivot_comp").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a")), "minor")
-    if minor.isEmpty():
-        return first
-    open_buckets = minor.select("bucket").distinct()
-    others = named.where("node <> pivot").join(open_buckets, "bucket").join(right.withColumnRenamed("b", "node"), "node").select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "y")
-    cross = minor.join(left, "a").join(others, "bucket").where((F.col("comp_a") != F.col("comp_b")) & possible("x", "y"))
-    pairs = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(verify(written(pairs, "pairs")), "links")
-    names = first.select(F.col("node").alias("a"), F.col("comp").alias("u")), first.select(F.col("node").alias("b"), F.col("comp").alias("v"))
-    joined = more.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b"))
-    second = written(components(joined), "components").select(F.col("node").alias("comp"), F.col("comp").alias("over"))
-    merged = first.join(second, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp"))
-    lone = second.join(first.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("over").alias("comp"))
-    out = written(merged.union(lone), "components")
-    drop_written(pivots, grouped, nodes, minor, first)
-    return out
+
+    def star(rows: DataFrame) -> DataFrame:
+        pairs = rows.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        return written(verify(pairs.join(left, "a").join(right, "b").where(possible("x", "y")).select("a", "b")), "links")
+
+    first = star(grouped)
+    comps = written(components(first), "components")
+    drop_written(first, pivots)
+    size, whole = grouped.count(), grouped
+    grouped = grouped.drop("pivot")
+    for turn in range(ROUNDS + 1):
+        named = grouped.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+        parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        buckets = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        opened = written(buckets.where(F.col("most.n") < F.col("all")).select("bucket", F.col("most.comp").alias("main"), ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "open")
+        pairs = opened.agg(F.sum("pairs")).first()[0]
+        if not pairs:
+            drop_written(opened)
+            break
+        rows = written(named.join(opened.drop("pairs"), "bucket"), "open-rows")
+        if turn < ROUNDS and pairs > 2 * size:
+            chosen = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("comp").alias("its"))).alias("c")).select("bucket", "c.pivot", "c.its")
+            links = star(rows.join(written(chosen, "chosen"), "bucket").where("comp <> its"))
+        else:
+            minor = rows.where("comp <> main").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(left, "a")
+            others = rows.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")).join(right, "b")
+            cross = minor.join(others, "bucket").where((F.col("comp_a") != F.col("comp_b")) & possible("x", "y"))
+            links = written(verify(written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")), "links")
+        before, comps = comps, merged(comps, links)
+        drop_written(opened, rows, links, before)
+        if not (turn < ROUNDS and pairs > 2 * size):
+            break
+    drop_written(whole, nodes)
+    return comps

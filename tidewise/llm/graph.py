@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,59 +49,76 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.union(fresh), "components")
 
 
-#: Rounds of comparing every member of an open bucket with one chosen member, before open pairs are compared one by one.
-ROUNDS = 8
+#: Open pairs a member that make a bucket crowded.
+CROWDED = 8
 
 
-def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] = lambda nodes: None) -> DataFrame:
+def blocks(rows: DataFrame, group: str, node: str, most: int) -> DataFrame:
+    """Cut large groups: a row for each meeting of a row's block with another; columns task, across, block are added.
+
+    Groups of more than ``most`` rows are cut into blocks by a hash of ``node``, and each two blocks meet in a task of their own, so
+    that every pair of a group is together in a task and no task is larger than two blocks.
+    """
+    large = rows.groupBy(group).agg(F.count("*").alias("k")).where(F.col("k") > most).select(group, F.ceil(F.col("k") / most).cast("int").alias("_blocks"))
+    cut = rows.join(large, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    low, high = F.least("block", "_other"), F.greatest("block", "_other")
+    return cut.withColumn("task", F.xxhash64(group, low, high)).withColumn("across", low != high).drop("_blocks", "_other")
+
+
+def local_components(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of 0..size-1 the smallest that it reaches by the links i-j."""
+    label = np.arange(size)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        label = np.minimum(label, label[label])
+        if (label == before).all():
+            return label
+
+
+def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] = lambda nodes: None, dense: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, comp of every node that has a link; no pair of nodes that share a bucket is left undecided.
 
     members: (node, bucket), each pair once. features: (node, ...) a row for each node. possible(x, y): a condition on
     the feature structs named x and y that every linked pair fulfils. verify(pairs a, b): the pairs that are linked.
-    prepare(nodes): told once which nodes can be in a pair.
-
-    First every member is compared with its bucket's smallest node only, which settles groups of copies of any size in
-    one comparison a copy. A pair that is still open then lies in two components. While the open pairs outnumber
-    the members, each open bucket's members are compared with a further member chosen by a hash, which joins groups whose members are
-    linked to many but not to all others. The pairs open at last are all compared, if possible() allows;
-    the members of a bucket's largest component are on one side only.
+    prepare(nodes): told once which nodes can be in a pair. dense(bucket, node): links (a, b) that connect what is linked
+    inside each bucket, without a row for each pair.
+
+    First every member is compared with its bucket's most central member only (the one whose buckets hold most members: of
+    edited copies, the original), which settles groups of copies of any size in one comparison a copy. A pair that is still
+    open then lies in two components. Buckets with many more open pairs than members are left to ``dense``; in
+    the others the open pairs are compared, if possible() allows, and the members of a bucket's largest component are on
+    one side only.
     """
-    pivots = written(members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "pivots")
-    grouped = written(members.join(pivots, "bucket"), "grouped")
-    nodes = written(grouped.select("node").distinct().join(features, "node").select("node", F.struct(*features.columns).alias("f")), "nodes")
+    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = written(members.join(sizes, "bucket"), "shared")
+    central = written(shared.groupBy("node").agg(F.sum("n").alias("reach")), "central")
+    nodes = written(central.select("node").join(features, "node").select("node", F.struct(*features.columns).alias("f")), "nodes")
     prepare(nodes.select("node"))
+    grouped = written(shared.select("bucket", "node").join(central, "node"), "grouped")
+    drop_written(sizes, shared, central)
     left, right = nodes.select(F.col("node").alias("a"), F.col("f").alias("x")), nodes.select(F.col("node").alias("b"), F.col("f").alias("y"))
-
-    def star(rows: DataFrame) -> DataFrame:
-        pairs = rows.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        return written(verify(pairs.join(left, "a").join(right, "b").where(possible("x", "y")).select("a", "b")), "links")
-
-    first = star(grouped)
-    comps = written(components(first), "components")
-    drop_written(first, pivots)
-    size, whole = grouped.count(), grouped
-    grouped = grouped.drop("pivot")
-    for turn in range(ROUNDS + 1):
-        named = grouped.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        buckets = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        opened = written(buckets.where(F.col("most.n") < F.col("all")).select("bucket", F.col("most.comp").alias("main"), ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "open")
-        pairs = opened.agg(F.sum("pairs")).first()[0]
-        if not pairs:
-            drop_written(opened)
-            break
-        rows = written(named.join(opened.drop("pairs"), "bucket"), "open-rows")
-        if turn < ROUNDS and pairs > 2 * size:
-            chosen = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("comp").alias("its"))).alias("c")).select("bucket", "c.pivot", "c.its")
-            links = star(rows.join(written(chosen, "chosen"), "bucket").where("comp <> its"))
-        else:
-            minor = rows.where("comp <> main").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(left, "a")
-            others = rows.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")).join(right, "b")
-            cross = minor.join(others, "bucket").where((F.col("comp_a") != F.col("comp_b")) & possible("x", "y"))
-            links = written(verify(written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")), "links")
-        before, comps = comps, merged(comps, links)
-        drop_written(opened, rows, links, before)
-        if not (turn < ROUNDS and pairs > 2 * size):
-            break
-    drop_written(whole, nodes)
-    return comps
+    most = F.max(F.struct("reach", "node")).alias("m")
+
+    pivots = written(grouped.groupBy("bucket").agg(most).select("bucket", F.col("m.node").alias("pivot")), "pivots")
+    pairs = grouped.join(pivots, "bucket").where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    links = written(verify(pairs.join(left, "a").join(right, "b").where(possible("x", "y")).select("a", "b")), "links")
+    comps = written(components(links), "components")
+    drop_written(pivots, links)
+    named = grouped.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    crowded = (F.col("all") * F.col("all") - F.col("same")) / 2 > CROWDED * F.col("all") if dense else F.lit(False)
+    opened = written(buckets.where(F.col("most.n") < F.col("all")).select("bucket", F.col("most.comp").alias("main"), crowded.alias("crowded")), "open")
+    rows = written(named.join(opened, "bucket"), "open-rows")
+    minor = rows.where("comp <> main and not crowded").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(left, "a")
+    others = rows.where("not crowded").select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")).join(right, "b")
+    cross = minor.join(others, "bucket").where((F.col("comp_a") != F.col("comp_b")) & possible("x", "y"))
+    links = verify(written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+    if dense:
+        links = links.union(dense(rows.where("crowded").select("bucket", "node")))
+    out = merged(comps, written(links, "links"))
+    drop_written(opened, rows, comps, grouped, nodes)
+    return out

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import blocks, components, local_components
 from .shared import drop_written, map_arrow, written
 from .vectors import matrix, sample_rows, usable, whole_groups
 
@@ -112,21 +112,13 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
                 continue
             size, w = b - a, weight[own].astype(np.int64)
             counted = np.bincount(fresh_i, w[fresh_j], size) + np.bincount(fresh_j, w[fresh_i], size)
-            least = np.arange(size)
             ids = node[own]
-            rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-            label = rank.copy()
-            while True:
-                before = label.copy()
-                np.minimum.at(label, fresh_i, label[fresh_j])
-                np.minimum.at(label, fresh_j, label[fresh_i])
-                by_rank = np.empty(size, np.int64)
-                by_rank[rank] = label
-                label = np.minimum(label, by_rank[label])
-                if (label == before).all():
-                    break
+            by_id = np.argsort(ids, kind="stable")
+            rank = np.empty(size, np.int64)
+            rank[by_id] = np.arange(size)
+            least = ids[by_id][local_components(size, rank[fresh_i], rank[fresh_j])[rank]]
             hit = np.flatnonzero(counted)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(counted[hit].astype(np.int64)), pa.array(np.sort(ids)[label[hit]])], names=["node", "links", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(counted[hit].astype(np.int64)), pa.array(least[hit])], names=["node", "links", "least"])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, group: str = "label", name: str = "embedding", id_name: str = "vec_id") -> DataFrame:
@@ -156,11 +148,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, group: str = "labe
     coded = map_arrow(classes, hashed, f"label {label_type}, embedding {element}, node long, n long, found array<long>")
     spread = coded.select("*", F.posexplode("found").alias("table", "value")).withColumn("bucket", F.xxhash64("label", "table", "value", F.size("embedding")))
     spread = written(spread.drop("label", "value"), "coded")
-    large = spread.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    cut = spread.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    tasks = cut.select(F.xxhash64("bucket", low, high).alias("task"), (low != high).alias("across"), "table", "node", "n", "block", "embedding", "found")
+    tasks = blocks(spread, "bucket", "node", BLOCK).select("task", "across", "table", "node", "n", "block", "embedding", "found")
     dealt = tasks.repartition("task").sortWithinPartitions("task")
     found = written(map_arrow(dealt, lambda batches: _links(batches, threshold), "node long, links long, least long"), "found")
     comps = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))

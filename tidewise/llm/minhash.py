@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import link_buckets
+from .graph import blocks, link_buckets, local_components
 from .shared import drop_written, map_arrow, pieces, written
+from .vectors import whole_groups
 from .words import Buffer, mix
 
 #: Bands and their rows; half of the bands are of minima, half of maxima.
@@ -34,6 +35,8 @@ PERMUTATIONS = BANDS * ROWS // 2
 SKETCH_WORDS, SKETCH_BITS, LEAST_AGREEING = 4, 60, 0.79
 #: Text bytes in one pass: the hashes of a pass stay in the processor's cache.
 PASS_BYTES = 1 << 20
+#: Members of a block of a crowded bucket, and shingles multiplied out at once.
+BLOCK, COLUMNS = 600, 4096
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -118,6 +121,36 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return sets if once else sets.dropDuplicates(["node"])
 
 
+def _linked_within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each task the smallest member of its group that each member reaches, by exact set sizes from 0/1 matrix products."""
+    for batch, starts in whole_groups(batches, "task"):
+        nodes, block, across = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "block", "across"))
+        for a, b in zip(starts.tolist(), starts[1:].tolist()):
+            hashes = batch.column("hashes").slice(a, b - a)
+            size = np.diff(hashes.offsets.to_numpy())
+            member = np.repeat(np.arange(b - a), size)
+            _, inverse, times = np.unique(hashes.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            often = np.cumsum(times > 1) - 1
+            of_two = times[inverse] > 1
+            member, column = member[of_two], often[inverse[of_two]]
+            order = np.argsort(column, kind="stable")
+            member, column = member[order], column[order]
+            shared = np.zeros((b - a, b - a), np.float32)
+            for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+                at, to = np.searchsorted(column, [first, first + COLUMNS])
+                ones = np.zeros((b - a, COLUMNS), np.float32)
+                ones[member[at:to], column[at:to] - first] = 1
+                shared += ones @ ones.T
+            linked = np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1)
+            if across[a]:
+                linked &= block[a:b, None] != block[None, a:b]
+            i, j = np.nonzero(linked)
+            label = local_components(b - a, i, j)
+            moved = np.flatnonzero(label != np.arange(b - a))
+            own = nodes[a:b]
+            yield pa.RecordBatch.from_arrays([pa.array(own[label[moved]]), pa.array(own[moved])], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept, and rid, one row for each row of ``docs``.
 
@@ -146,7 +179,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("p") + F.size("q")).cast("long").alias("all"), F.size(F.array_intersect("p", "q")).cast("long").alias("shared"))
         return both.where(F.col("shared") * 100 >= (F.col("all") - F.col("shared")) * percent).select("a", "b")
 
-    comps = link_buckets(members, features, possible, verify, prepare)
+    def dense(rows: DataFrame) -> DataFrame:
+        tasks = blocks(rows, "bucket", "node", BLOCK).select("task", "across", "block", "node").join(sets[0], "node")
+        dealt = tasks.repartition("task").sortWithinPartitions("task")
+        return map_arrow(dealt, lambda batches: _linked_within(batches, percent), "a long, b long")
+
+    comps = link_buckets(members, features, possible, verify, prepare, dense)
     drop_written(*sets)
     named = classes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     whole = signed.select("rid", "doc_id", "digest", "n_shingles").join(named, "digest", "left").withColumn("comp", F.coalesce("comp", "rid"))

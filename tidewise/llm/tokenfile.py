@@ -15,6 +15,10 @@ the tokenizer as it does by default; rows may repeat; an empty table gives an em
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +31,9 @@ from .shared import drop_written, map_arrow, pieces, written
 
 #: Tokens after which a block ends; a longer document makes a block of its own.
 BLOCK_TOKENS = 1 << 16
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Data bytes of the four ranks of each control byte.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -45,48 +49,119 @@ def encode(values: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The ``count`` values of :func:`encode`."""
+    """The ``count`` values of :func:`encode`: lengths by table, then each byte of the values that have it."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
-    raw = np.zeros((count, 4), np.uint8)
-    raw[np.arange(4) < size[:, None]] = np.frombuffer(data, np.uint8)
-    return raw.view("<u4").ravel().astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    start = np.cumsum(size, dtype=np.int64) - size
+    out = data[start].astype(np.int64)
+    at = np.arange(count)
+    for k in range(1, 4):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        out[at] |= data[start[at] + k].astype(np.int64) << (8 * k)
+    return out
+
+
+_marks = re.compile("[\u0300-\u036f]").search
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level tokenizers write for the bytes 0 to 255: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class WordEncoder:
     """The tokenizers library behind a memory of words.
 
-    For a tokenizer that drops white space and splits at it, a text's ids are those of its words one after another. Words
-    not yet known are encoded together by the library and told apart by the offsets it returns.
+    For a tokenizer that lower-cases, drops white space and splits at it, a text's ids are those of its words one after
+    another, whatever the case of a to z (unless marks that combine with letters are about), and a lone stop
+    after letters is a piece of its own. Words of plain letters that the normaliser leaves alone go straight to the
+    library's merging model; all others through the whole tokenizer, told apart by the offsets it returns. That this
+    holds is checked on the tokenizer's own description; for any other every word takes the longer way.
     """
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.memory: dict[str, list[int]] = {"": []}
-
-    def learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 20_000):
-            words = fresh[at : at + 20_000]
+        self.model = self.tokenizer.model
+        made = json.loads(content)
+        steps = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
+        ways = [n["type"] for n in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and ways == ["Split", "ByteLevel"]
+        self.letters = byte_letters()
+        self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memory: dict[str, int] = {"": 0}
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _simple(self, word: str) -> bool:
+        return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+    def _learn(self, fresh: list[str]) -> None:
+        found: list[list[int]] = []
+        rest: list[int] = []
+        tokenize, letters = self.model.tokenize, self.letters
+        stops = self.stops
+        for k, word in enumerate(fresh):
+            tail = stops.get(word[-1])
+            body = word if tail is None else word[:-1]
+            if self.plain and self._simple(body):
+                ids = [t.id for t in tokenize(body if body.isascii() else body.encode().decode("latin-1").translate(letters))]
+                found.append(ids if tail is None else ids + tail)
+            else:
+                found.append([])
+                rest.append(k)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            words = [fresh[k] for k in part]
             coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
             starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-            ids = coded.ids
             owner = np.searchsorted(starts, np.array([o[0] for o in coded.offsets], np.int64), side="right") - 1
-            cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-            for word, a, b in zip(words, cuts, cuts[1:]):
-                self.memory[word] = ids[a:b]
-
-    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+            cuts, ids = np.searchsorted(owner, np.arange(len(words) + 1)).tolist(), coded.ids
+            for k, a, b in zip(part, cuts, cuts[1:]):
+                found[k] = ids[a:b]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        before = len(self.size)
+        self.memory.update(zip(fresh, range(before, before + len(fresh))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))])
+
+    def encode_many(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each followed by ``end``, and how many each has."""
         if len(self.memory) > REMEMBERED:
-            self.memory = {"": []}
-        memory = self.memory
-        self.learn(sorted({w for found in split for w in found if w not in memory}))
-        for found in split:
-            ids: list[int] = []
-            for word in found:
-                ids += memory[word]
-            yield ids
+            self._forget()
+        words: list[str] = []
+        counts = []
+        for text in texts:
+            if self.plain and not (not text.isascii() and _marks(text)):
+                text = text.encode().lower().decode()
+            own = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            words += own
+            counts.append(len(own) + 1)
+        known = np.fromiter(map(self.memory.get, words, itertools.repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(known < 0).tolist()
+        self._learn(sorted({words[k] for k in fresh}))
+        known[fresh] = np.fromiter((self.memory[words[k]] for k in fresh), np.int64, len(fresh))
+        stops = np.cumsum(counts) - 1
+        at = np.full(len(words) + len(texts), -1, np.int64)
+        inner = np.ones(len(at), bool)
+        inner[stops] = False
+        at[inner] = known
+        size = np.where(inner, self.size[at], 1)
+        edge = np.cumsum(size)
+        place = np.repeat(self.start[at] - edge + size, size)
+        place += np.arange(len(place))
+        ends = edge[stops]
+        place[ends - 1] = 0
+        ids = self.ids[place] if len(self.ids) else np.zeros(len(place), np.uint32)
+        ids[ends - 1] = end
+        return ids, np.diff(ends, prepend=0)
 
 
 _made: dict[int, WordEncoder] = {}
@@ -110,31 +185,27 @@ def _ascending_blocks(docs: DataFrame, content, end: int) -> DataFrame:
         from pyspark import TaskContext
 
         encoder, part = _worker_copy(content.value), TaskContext.get().partitionId()
-        block, before, held, lengths, chunks, names = 0, 0, 0, [], [], []
-
-        def closed() -> pa.RecordBatch:
-            ids = np.concatenate(chunks)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([block]), pa.array([before]), pa.array([names], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([ids.astype("<u4").tobytes()])],
-                names=["part", "block", "before", "docs", "lengths", "ids"],
-            )
-
-        id_type = None
-        for piece in pieces(batches, most=2 << 20):
-            id_type = piece.schema.field("doc_id").type
-            for doc, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode_many([x or "" for x in piece.column("text").to_pylist()])):
-                if held and held + len(ids) + 1 > BLOCK_TOKENS:
-                    yield closed()
-                    block, before, held, lengths, chunks, names = block + 1, before + held, 0, [], [], []
-                chunks.append(np.array([*ids, end], np.uint32))
-                held += len(ids) + 1
-                lengths.append(len(ids) + 1)
-                names.append(doc)
-        if held:
-            yield closed()
+        block, before, total = 0, 0, np.zeros(0, np.int64)
+        names = ["part", "block", "before", "docs", "lengths", "ids", "counts"]
+        for piece in pieces(batches, most=1 << 20):
+            ids, lengths = encoder.encode_many([x or "" for x in piece.column("text").to_pylist()], end)
+            found = np.bincount(ids)
+            total = found + np.pad(total, (0, len(found) - len(total))) if len(found) > len(total) else total + np.pad(found, (0, len(total) - len(found)))
+            ends = np.cumsum(lengths)
+            slot = (ends - 1) // BLOCK_TOKENS
+            cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(lengths)]
+            for a, b in zip(cuts, cuts[1:]):
+                first, last = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
+                rows = [pa.array([part]), pa.array([block]), pa.array([before]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), piece.column("doc_id").slice(a, b - a)), pa.array([lengths[a:b]], pa.list_(pa.int64())), pa.array([ids[first:last].astype("<u4").tobytes()])]
+                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(1, pa.binary())], names=names)
+                block, before = block + 1, before + last - first
+        if block:
+            # how often each id occurred in the part, in a row of its own
+            rows = [pa.array([part]), pa.array([-1]), pa.array([before]), pa.array([[]], pa.list_(piece.schema.field("doc_id").type)), pa.array([[]], pa.list_(pa.int64())), pa.array([b""]), pa.array([total.tobytes()])]
+            yield pa.RecordBatch.from_arrays(rows, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(ordered, run, f"part long, block long, before long, docs array<{kind}>, lengths array<long>, ids binary")
+    return map_arrow(ordered, run, f"part long, block long, before long, docs array<{kind}>, lengths array<long>, ids binary, counts binary")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> tuple[DataFrame, np.ndarray]:
@@ -150,15 +221,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> tuple[DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                found = np.bincount(np.frombuffer(raw, "<u4"))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+            for raw in batch.column("counts").to_pylist():
+                found = np.frombuffer(raw, np.int64)
+                most = max(len(found), len(total))
+                total = np.pad(total, (0, most - len(total))) + np.pad(found, (0, most - len(found)))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    counts = map_arrow(staged.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = map_arrow(staged.where("block = -1").select("counts"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.int64)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.int64)
     rank_of[by_rank] = np.arange(len(by_rank))
@@ -170,8 +240,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> tuple[DataFra
             kept = ["part", "block", "before", "docs", "lengths"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], names=[*kept, "control", "data"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in staged.schema if f.name != "ids")
-    folder = written(map_arrow(staged, code, f"{schema}, control binary, data binary"), "tokens")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in staged.schema if f.name not in ("ids", "counts"))
+    folder = written(map_arrow(staged.where("block >= 0").drop("counts"), code, f"{schema}, control binary, data binary"), "tokens")
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{folder._tidewise_path}-ranks")
     drop_written(staged)
     return folder, by_rank

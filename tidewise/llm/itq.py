@@ -88,8 +88,6 @@ def shape(largest_group: int, threshold: float) -> tuple[int, int]:
 def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """For each task: links of a class found in it (a weighted count), and its smallest class reachable in it."""
     for batch, starts in whole_groups(batches, "task"):
-        vectors = matrix(batch.column("embedding"))
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         node, weight, block = (batch.column(c).to_numpy() for c in ("node", "n", "block"))
         table, side = batch.column("table").to_numpy(), batch.column("across").to_numpy(zero_copy_only=False)
         values = batch.column("found").flatten().to_numpy().reshape(batch.num_rows, -1)
@@ -97,7 +95,9 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             if b - a < 2:
                 continue
             own, t = slice(a, b), int(table[a])
-            close = np.triu(vectors[own] @ vectors[own].T >= threshold, 1)
+            vectors = matrix(batch.column("embedding").slice(int(a), int(b - a)))
+            vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+            close = np.triu(vectors @ vectors.T >= threshold, 1)
             if side[a]:
                 close &= block[own][:, None] != block[own][None, :]
             i, j = np.nonzero(close)

@@ -70,7 +70,7 @@ def mixed(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tup
     up_to = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     running = slices.withColumn("through", F.sum("slice_size").over(up_to)).withColumnRenamed("source", "_s")
     last = running.join(plan.select(F.col("source").alias("_t"), "fraction"), F.col("_s").eqNullSafe(F.col("_t"))).where(F.col("through") > F.col("fraction"))
-    part = (F.col("fraction") - (F.col("through") - F.col("slice_size"))) / F.col("slice_size")
+    part = F.try_divide(F.col("fraction") - (F.col("through") - F.col("slice_size")), F.col("slice_size"))
     part = F.when(F.col("rows") == 1, F.round(part)).otherwise(part)
     edge = last.groupBy("_s").agg(F.min(F.struct("slice", part.alias("part"))).alias("edge"))
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_source"), "source_size", "target", "whole", F.coalesce("edge.slice", F.lit(SLICES)).alias("_slice"), F.coalesce("edge.part", F.lit(0.0)).alias("_part"))

@@ -1,11 +1,12 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-Method. On a bounded sample the vectors are centred and projected on their principal directions, and a rotation is
+Method. On a bounded sample the unit vectors are projected on their principal directions, and a rotation is
 learned that brings them closest to the corners of the cube (alternating sign and Procrustes steps), so that each bit
 of the code splits the data about evenly. A code is cut into substrings; each substring of ``bits`` bits is a Hamming
 table, and vectors that share a substring's value and their group are compared by cosine on the original vectors.
 
-A bit differs between two vectors at the threshold with probability arccos(threshold) / pi, which gives the number of
+The vectors aren't centred: that would part close vectors of a concentrated collection, whose angle about its mean is wide.
+Groups of up to ``BUCKET`` classes are compared whole. A bit differs between two vectors at the threshold with probability arccos(threshold) / pi, which gives the number of
 tables (of further rotations, where one code is too short) at which the chance to miss such a pair is under
 ``MISS``; the length of a substring follows the largest group, so a bucket's size stays the same as data grow.
 
@@ -40,7 +41,6 @@ STEPS = 30
 
 @dataclass
 class Codes:
-    centre: np.ndarray
     project: np.ndarray  # (d, k), principal directions
     rotations: list[np.ndarray]  # (k, k) each
     bits: int
@@ -49,8 +49,9 @@ class Codes:
     def values(self, unit: np.ndarray) -> np.ndarray:
         """(rows, tables): the substring values of unit vectors."""
         out = np.zeros((len(unit), self.tables), np.int64)
-        flat = unit.shape[1] == len(self.centre)
-        low = (unit - self.centre) @ self.project if flat else unit @ np.random.default_rng(unit.shape[1]).normal(size=(unit.shape[1], self.project.shape[1]))
+        if not self.bits:
+            return out
+        low = unit @ self.project if unit.shape[1] == len(self.project) else unit @ np.random.default_rng(unit.shape[1]).normal(size=(unit.shape[1], self.project.shape[1]))
         each = max(1, low.shape[1] // self.bits)
         for t in range(self.tables):
             at = t % each * self.bits
@@ -61,26 +62,26 @@ class Codes:
 
 def learn(unit: np.ndarray, bits: int, tables: int, seed: int = 5) -> Codes:
     rng = np.random.default_rng(seed)
-    centre = unit.mean(0) if len(unit) else np.zeros(unit.shape[1])
-    moved = unit - centre
-    _, vectors = np.linalg.eigh(moved.T @ moved)
+    _, vectors = np.linalg.eigh(unit.T @ unit)
     project = vectors[:, ::-1][:, :64]
-    low = moved @ project
+    low = unit @ project
     k = project.shape[1]
     bits = min(bits, k)
     rotations = []
-    for _ in range(-(-tables // max(1, k // bits))):
+    for _ in range(-(-tables // max(1, k // bits)) if bits else 0):
         rotation = np.linalg.qr(rng.normal(size=(k, k)))[0]
         for _ in range(STEPS if len(unit) > 1 else 0):
             left, _, right = np.linalg.svd(np.where(low @ rotation > 0, 1.0, -1.0).T @ low)
             rotation = (left @ right).T
         rotations.append(rotation[:, rng.permutation(k)])
-    return Codes(centre, project, rotations, bits, tables)
+    return Codes(project, rotations, bits, tables)
 
 
 def shape(largest_group: int, threshold: float) -> tuple[int, int]:
     """Bits of a substring and number of tables."""
-    bits = max(2, min(24, round(math.log2(max(largest_group, 1) / BUCKET)) if largest_group > BUCKET else 2))
+    if largest_group <= BUCKET:
+        return 0, 1
+    bits = max(2, min(24, round(math.log2(largest_group / BUCKET))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - agree))
 

@@ -13,7 +13,8 @@ A query that finds fewer than k is answered exactly, by a pass over all vectors
 Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so only they are indexed; equal queries are searched once.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components take no part; vectors of
-another length than the commonest take no part in the hashed search and are answered exactly; ties go to the smaller id.
+another length than the commonest take no part in the hashed search and are answered exactly; ties go to the smaller id; rows that repeat an id count
+once.
 """
 
 from __future__ import annotations

@@ -27,11 +27,9 @@ KINDS = {
 
 def range_of(df: DataFrame, order: str) -> Column:
     """The number of the range that a row's first order value falls into; nulls fall into the first."""
-    boundaries = getattr(df, "_range_boundaries", {}).get(order)
-    if boundaries is None:
-        rows = df.select(F.col(order).alias("v")).where("v is not null").withColumn("r", F.xxhash64("v")).orderBy("r").limit(RANGES * SAMPLED).collect()
-        values = sorted({r["v"] for r in rows})
-        boundaries = values[:: max(1, len(values) // RANGES)][1:]
+    rows = df.select(F.col(order).alias("v")).where("v is not null").withColumn("r", F.xxhash64("v")).orderBy("r").limit(RANGES * SAMPLED).collect()
+    values = sorted({r["v"] for r in rows})
+    boundaries = values[:: max(1, len(values) // RANGES)][1:]
     if not boundaries:
         return F.lit(0)
     reached = F.filter(F.array(*(F.lit(b) for b in boundaries)), lambda b: b <= F.col(order))
@@ -100,9 +98,9 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], left_spa
     """Rows of both sides whose half-open spans meet: left.start < right.end and right.start < left.end, null end meaning never.
 
     Spans are numbers. Without a key, spans are cut into cells of ``grain`` (the mean length by default) and joined by
-    cell, so that no nested loop over all pairs is needed; a pair counts in the cell where the later span starts. Spans without end stay in
-    a broadcast-free side join on the cells from their start to the last start of the other side. An empty span, whose
-    end isn't after its start, meets nothing.
+    cell, so that no nested loop over all pairs is needed; a pair counts in the cell where the later span starts. A span
+    without end runs to the last start of either side, and the grain is at least a 100,000th of the whole time, which bounds its
+    cells. An empty span, whose end isn't after its start, meets nothing.
     """
     (ls, le), (rs, re) = left_span, right_span
     meets = ((F.col(rs) < F.col(le)) | F.col(le).isNull()) & ((F.col(ls) < F.col(re)) | F.col(re).isNull())

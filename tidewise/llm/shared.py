@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -53,6 +54,16 @@ def drop_written(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def without_collection() -> Iterator[None]:
+    """No search for garbage cycles meanwhile: it would walk large memories of words again and again and find nothing."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
     gc.collect()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, map_arrow, pieces, written
+from .shared import drop_written, map_arrow, pieces, without_collection, written
 
 #: Tokens after which a block ends; a longer document makes a block of its own.
 BLOCK_TOKENS = 1 << 16
@@ -100,7 +100,7 @@ class WordEncoder:
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _simple(self, word: str) -> bool:
-        return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+        return word.isalpha() and (word.islower() if word.isascii() else word == word.lower() and unicodedata.is_normalized("NFC", word))
 
     def _learn(self, fresh: list[str]) -> None:
         found: list[list[int]] = []
@@ -134,6 +134,10 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each followed by ``end``, and how many each has."""
+        with without_collection():
+            return self._encode_many(texts, end)
+
+    def _encode_many(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memory) > REMEMBERED:
             self._forget()
         words: list[str] = []
@@ -146,7 +150,7 @@ class WordEncoder:
             counts.append(len(own) + 1)
         known = np.fromiter(map(self.memory.get, words, itertools.repeat(-1)), np.int64, len(words))
         fresh = np.flatnonzero(known < 0).tolist()
-        self._learn(sorted({words[k] for k in fresh}))
+        self._learn(list({words[k] for k in fresh}))
         known[fresh] = np.fromiter((self.memory[words[k]] for k in fresh), np.int64, len(fresh))
         stops = np.cumsum(counts) - 1
         at = np.full(len(words) + len(texts), -1, np.int64)
@@ -175,8 +179,8 @@ def _worker_copy(content: str) -> WordEncoder:
     return _made[key]
 
 
-def _ascending_blocks(docs: DataFrame, content, end: int) -> DataFrame:
-    """part, block, before, docs, lengths, ids (little-endian 32 bits) of tokenized documents in ascending order of id."""
+def _ascending_blocks(docs: DataFrame, content, end: int, width: str) -> DataFrame:
+    """part, block, before, docs, lengths, ids (``width``) of tokenized documents in ascending order of id."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
@@ -196,7 +200,7 @@ def _ascending_blocks(docs: DataFrame, content, end: int) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(lengths)]
             for a, b in zip(cuts, cuts[1:]):
                 first, last = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
-                rows = [pa.array([part]), pa.array([block]), pa.array([before]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), piece.column("doc_id").slice(a, b - a)), pa.array([lengths[a:b]], pa.list_(pa.int64())), pa.array([ids[first:last].astype("<u4").tobytes()])]
+                rows = [pa.array([part]), pa.array([block]), pa.array([before]), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), piece.column("doc_id").slice(a, b - a)), pa.array([lengths[a:b]], pa.list_(pa.int64())), pa.array([ids[first:last].astype(width).tobytes()])]
                 yield pa.RecordBatch.from_arrays([*rows, pa.nulls(1, pa.binary())], names=names)
                 block, before = block + 1, before + last - first
         if block:
@@ -215,8 +219,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> tuple[DataFra
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
-        content = spark.sparkContext.broadcast(file.read())
-    staged = written(_ascending_blocks(docs, content, end), "staged")
+        described = file.read()
+    made = json.loads(described)
+    largest = max(end, *made["model"]["vocab"].values(), *(t["id"] for t in made.get("added_tokens", [])))
+    width = "<u2" if largest < 1 << 16 else "<u4"
+    content = spark.sparkContext.broadcast(described)
+    staged = written(_ascending_blocks(docs, content, end, width), "staged")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -230,13 +238,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> tuple[DataFra
 
     counts = map_arrow(staged.where("block = -1").select("counts"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.int64)
-    rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.int64)
+    rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     shared = spark.sparkContext.broadcast(rank_of)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = [encode(shared.value[np.frombuffer(raw, "<u4")]) for raw in batch.column("ids").to_pylist()]
+            coded = [encode(shared.value[np.frombuffer(raw, width)]) for raw in batch.column("ids").to_pylist()]
             kept = ["part", "block", "before", "docs", "lengths"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], names=[*kept, "control", "data"])
 

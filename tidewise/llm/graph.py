@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: each round hangs a node's larger neighbours, then its smaller ones, below its
     smallest neighbour; the rounds grow with the logarithm of the longest path. Sums and minima are combined before
     the shuffle and the joins are plain equi-joins, which skewed-join handling can split. Each round is written to the shared folder.
-    Loops and repeated edges have no effect; no edges give no rows; null nodes are left out.
+    Loops and repeated edges have no effect; no edges give no rows; null nodes are left out. The result is a written table.
     """
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
 
@@ -36,17 +36,22 @@ def components(edges: DataFrame) -> DataFrame:
         now, before, seen = after, seen, mark(after)
         if seen == before:
             break
-    return now.select(F.col("v").alias("node"), F.col("u").alias("comp")).union(now.select("u", "u").distinct())
+    out = written(now.select(F.col("v").alias("node"), F.col("u").alias("comp")).union(now.select("u", "u").distinct()), "components")
+    drop_written(now)
+    return out
 
 
 def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """``comps`` (node, comp) after further links (a, b) between nodes, which may be new."""
     a, b = comps.select(F.col("node").alias("a"), F.col("comp").alias("u")), comps.select(F.col("node").alias("b"), F.col("comp").alias("v"))
     joined = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b"))
-    over = written(components(joined), "components").select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+    found = components(joined)
+    over = found.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
     moved = comps.join(over, "comp", "left").select("node", F.coalesce("over", "comp").alias("comp"))
     fresh = over.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("over").alias("comp"))
-    return written(moved.union(fresh), "components")
+    out = written(moved.union(fresh), "components")
+    drop_written(found)
+    return out
 
 
 #: Open pairs a member that make a bucket crowded.
@@ -105,7 +110,7 @@ def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[st
     pivots = written(grouped.groupBy("bucket").agg(most).select("bucket", F.col("m.node").alias("pivot")), "pivots")
     pairs = grouped.join(pivots, "bucket").where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     links = written(verify(pairs.join(left, "a").join(right, "b").where(possible("x", "y")).select("a", "b")), "links")
-    comps = written(components(links), "components")
+    comps = components(links)
     drop_written(pivots, links)
     named = grouped.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
@@ -116,9 +121,11 @@ def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[st
     minor = rows.where("comp <> main and not crowded").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(left, "a")
     others = rows.where("not crowded").select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")).join(right, "b")
     cross = minor.join(others, "bucket").where((F.col("comp_a") != F.col("comp_b")) & possible("x", "y"))
-    links = verify(written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+    crossed = written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = verify(crossed)
     if dense:
         links = links.union(dense(rows.where("crowded").select("bucket", "node")))
-    out = merged(comps, written(links, "links"))
-    drop_written(opened, rows, comps, grouped, nodes)
+    links = written(links, "links")
+    out = merged(comps, links)
+    drop_written(opened, rows, crossed, links, comps, grouped, nodes)
     return out

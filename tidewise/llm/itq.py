@@ -155,7 +155,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, group: str = "labe
     comps = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = written(classes.join(counts, "node", "left").join(comps, "node", "left").select("label", "embedding", "n", "links", F.coalesce("comp", "node").alias("comp")), "named")
-    drop_written(spread, found, classes)
+    drop_written(spread, found, comps, classes)
     smallest = named.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), F.coalesce("links", F.lit(0)).alias("links"), "n", "comp")
     joined = rows.withColumn("able", able).join(smallest, F.col("able") & (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
     component = F.coalesce("comp", "vec_id")

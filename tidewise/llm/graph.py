@@ -86,7 +86,8 @@ def local_components(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prepare: Callable[[DataFrame], None] = lambda nodes: None, dense: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, comp of every node that has a link; no pair of nodes that share a bucket is left undecided.
 
-    members: (node, bucket), each pair once. features: (node, ...) a row for each node. possible(x, y): a condition on
+    members: (node, bucket), each pair once, and maybe a struct f of features. features: (node, ...) a row for each node,
+    for members without f. possible(x, y): a condition on
     the feature structs named x and y that every linked pair fulfils. verify(pairs a, b): the pairs that are linked.
     prepare(nodes): told once which nodes can be in a pair. dense(bucket, node): links (a, b) that connect what is linked
     inside each bucket, without a row for each pair.
@@ -100,26 +101,26 @@ def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[st
     sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = written(members.join(sizes, "bucket"), "shared")
     central = written(shared.groupBy("node").agg(F.sum("n").alias("reach")), "central")
-    nodes = written(central.select("node").join(features, "node").select("node", F.struct(*features.columns).alias("f")), "nodes")
+    carried = "f" in members.columns
+    nodes = written(central.select("node") if carried else central.select("node").join(features, "node").select("node", F.struct(*features.columns).alias("f")), "nodes")
     prepare(nodes.select("node"))
-    grouped = written(shared.select("bucket", "node").join(central, "node"), "grouped")
-    drop_written(sizes, shared, central)
-    left, right = nodes.select(F.col("node").alias("a"), F.col("f").alias("x")), nodes.select(F.col("node").alias("b"), F.col("f").alias("y"))
-    most = F.max(F.struct("reach", "node")).alias("m")
-
-    pivots = written(grouped.groupBy("bucket").agg(most).select("bucket", F.col("m.node").alias("pivot")), "pivots")
-    pairs = grouped.join(pivots, "bucket").where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    links = written(verify(pairs.join(left, "a").join(right, "b").where(possible("x", "y")).select("a", "b")), "links")
+    placed = shared.drop("n").join(central, "node")
+    grouped = written(placed if carried else placed.join(nodes, "node"), "grouped")
+    drop_written(sizes, shared, central, nodes)
+    pivots = grouped.groupBy("bucket").agg(F.max(F.struct("reach", "node", "f")).alias("m"))
+    pivots = written(pivots.select("bucket", F.col("m.node").alias("pivot"), F.col("m.f").alias("x")), "pivots")
+    near = grouped.withColumnRenamed("f", "y").join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & possible("x", "y"))
+    links = written(verify(near.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()), "links")
     comps = components(links)
     drop_written(pivots, links)
-    named = grouped.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    named = grouped.join(comps, "node", "left").select("bucket", "node", "f", F.coalesce("comp", "node").alias("comp"))
     parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
     crowded = (F.col("all") * F.col("all") - F.col("same")) / 2 > CROWDED * F.col("all") if dense else F.lit(False)
     opened = written(buckets.where(F.col("most.n") < F.col("all")).select("bucket", F.col("most.comp").alias("main"), crowded.alias("crowded")), "open")
     rows = written(named.join(opened, "bucket"), "open-rows")
-    minor = rows.where("comp <> main and not crowded").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(left, "a")
-    others = rows.where("not crowded").select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")).join(right, "b")
+    minor = rows.where("comp <> main and not crowded").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("f").alias("x"))
+    others = rows.where("not crowded").select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("f").alias("y"))
     cross = minor.join(others, "bucket").where((F.col("comp_a") != F.col("comp_b")) & possible("x", "y"))
     crossed = written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verify(crossed)
@@ -127,5 +128,5 @@ def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[st
         links = links.union(dense(rows.where("crowded").select("bucket", "node")))
     links = written(links, "links")
     out = merged(comps, links)
-    drop_written(opened, rows, crossed, links, comps, grouped, nodes)
+    drop_written(opened, rows, crossed, links, comps, grouped)
     return out

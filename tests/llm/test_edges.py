@@ -157,6 +157,34 @@ def test_fuzzy_lines(spark):
     assert got == {k: int(find(k) != k) for k in range(len(texts))}
 
 
+def distance(a, b):
+    before = np.arange(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        now = np.concatenate([[i], np.minimum(before[1:] + 1, before[:-1] + (np.array(list(b)) != x))])
+        before = np.minimum.accumulate(now - np.arange(len(now))) + np.arange(len(now))
+    return before[-1]
+
+
+def test_fuzzy_lines_recall(spark):
+    """Of all pairs of an edit similarity of 0.9 or more, whatever their hashes, nearly all are found."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = []
+    for k in range(120):
+        words = ["".join(rng.choice(letters, rng.integers(3, 9))) for _ in range((8, 16, 30, 60)[k % 4])]
+        changed, replaced = list(" ".join(words)), list(words)
+        changed[rng.integers(len(changed))] = "q"
+        for w in rng.choice(len(words), len(words) // 16, replace=False):
+            replaced[w] = "".join(rng.permutation(list(words[w])))
+        texts += [" ".join(words), "".join(changed), " ".join(replaced)]
+    clean = [lines.normalised(t) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 10 * abs(len(clean[i]) - len(clean[j])) <= len(clean[j]) and set(clean[i].split()) & set(clean[j].split()) and 10 * distance(clean[i], clean[j]) <= max(len(clean[i]), len(clean[j]))]
+    later = {j for _, j in pairs}
+    assert len(later) > 200
+    got = {r["doc_id"]: r["n_removed"] for r in lines.without_repeated_lines(table(spark, [(k, t, "a") for k, t in enumerate(texts)]), shingled=True).collect()}
+    assert {k for k, n in got.items() if n} <= later and sum(got[k] for k in later) >= 0.98 * len(later)
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.0], 0), (4, [1.0, 0.0], None), (5, None, 0), (6, [0.0, 0.0], 0), (7, [float("nan"), 1.0], 0), (8, [1.0, None], 0), (9, [1.0, 0.0], 1), (10, [], 0), (11, [1.0], 0), (3, [1.0, 0.0], 0)]
     kinds = "vec_id long, embedding array<float>, label int"

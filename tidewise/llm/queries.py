@@ -21,7 +21,7 @@ def op2_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left, of every document."""
-    return lines.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), shingled=True)
 
 
 def op4_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

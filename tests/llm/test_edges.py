@@ -185,6 +185,15 @@ def test_fuzzy_lines_recall(spark):
     assert {k for k, n in got.items() if n} <= later and sum(got[k] for k in later) >= 0.98 * len(later)
 
 
+def test_short_lines(spark):
+    """Exact repeats of any length go; fuzzy ones by characters, so scripts without blanks and short lines take part."""
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    texts = ["Home\nContact us\nright", "home!\ncontact us\nother", han, han[:30] + "\u4e01" + han[31:], "footer navi", "footer nav", "right"]
+    docs = table(spark, [(k, t, "a") for k, t in enumerate(texts)])
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.without_repeated_lines(docs, shingled=True).collect()}
+    assert got == {0: (texts[0], 0), 1: ("other", 2), 2: (han, 0), 3: ("", 1), 4: ("footer navi", 0), 5: ("", 1), 6: ("", 1)}
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.0], 0), (4, [1.0, 0.0], None), (5, None, 0), (6, [0.0, 0.0], 0), (7, [float("nan"), 1.0], 0), (8, [1.0, None], 0), (9, [1.0, 0.0], 1), (10, [], 0), (11, [1.0], 0), (3, [1.0, 0.0], 0)]
     kinds = "vec_id long, embedding array<float>, label int"

@@ -45,3 +45,11 @@ def test_plans_shuffle_once_and_stay_in_the_jvm(spark, name):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["f_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,view)" in plan.split("PushedFilters: ")[1].split("]")[0] and "props" not in plan
+
+
+def test_whole_sort_has_every_row_in_order(spark):
+    got = QUERIES["l_sorted_whole"](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "rangepartitioning" in plan
+    rows = got.collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/events.parquet").count() and [r["place"] for r in rows] == list(range(1, len(rows) + 1))

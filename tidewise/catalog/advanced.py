@@ -468,6 +468,13 @@ def l_sorted(spark, sf):
     return placed.df.select("event_id", "v", (F.col("place") + 1).alias("place"))
 
 
+@query(f"{_BY} SELECT event_id, v, row_number() OVER (ORDER BY v DESC, rail, event_id) AS place FROM r")
+def l_sorted_whole(spark, sf):
+    rows = _rails(spark, sf).sorted(F.col("v").desc())
+    placed = Seq(rows.withColumn("down", -F.col("v")), ("down", "rail", "event_id")).numbered("place")
+    return placed.df.select("event_id", "v", (F.col("place") + 1).alias("place")).orderBy("place")
+
+
 @query(f"{_BY} SELECT string_agg(v::VARCHAR, ',' ORDER BY v) AS vs FROM r WHERE event_type = 'purchase'")
 def l_to_sorted_list(spark, sf):
     found = _rails(spark, sf).filter(F.col("event_type") == "purchase").to_sorted_list(F.col("v"))

@@ -194,6 +194,12 @@ def test_short_lines(spark):
     assert got == {0: (texts[0], 0), 1: ("other", 2), 2: (han, 0), 3: ("", 1), 4: ("footer navi", 0), 5: ("", 1), 6: ("", 1)}
 
 
+def test_copies_of_paragraphs_parted_by_blank_lines_go(spark):
+    text = "a first paragraph of some words\n\nand a second one of others\n\r\n\t\nthe third ends the document here"
+    docs = table(spark, [(1, text, "a"), (2, text, "a"), (3, " \n\t", "a")])
+    assert sorted(r["doc_id"] for r in lines.dedup_lines(docs).collect()) == [1, 3]
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.0], 0), (4, [1.0, 0.0], None), (5, None, 0), (6, [0.0, 0.0], 0), (7, [float("nan"), 1.0], 0), (8, [1.0, None], 0), (9, [1.0, 0.0], 1), (10, [], 0), (11, [1.0], 0), (3, [1.0, 0.0], 0)]
     kinds = "vec_id long, embedding array<float>, label int"

@@ -52,6 +52,11 @@ def test_language(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 4, 5, 5, 6, 8]
 
 
+def test_nothing_to_learn_keeps_what_has_letters(spark, odd):
+    kept = langid.keep_identified(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 4, 5, 5, 6, 8]
+
+
 def test_bpe(spark, odd, none):
     ranks = bpe.SegmentTreeBPE.from_file(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})

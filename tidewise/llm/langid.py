@@ -234,8 +234,23 @@ def held_out_prediction(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def _with_letters(docs: DataFrame) -> DataFrame:
+    """The documents that have a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, most=8 << 20):
+            yield part.filter(pa.array([bool(letters_only(t)) for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents whose words mostly belong to one language; without a letter, or with a score under ``least``, they go."""
+    """The documents whose words mostly belong to one language; without a letter, or with a score under ``least``, they go.
+
+    Where nothing can be learned (no row has both a text and a language), those with a letter stay.
+    """
     model = train(docs)
+    if not model.languages:
+        return _with_letters(docs)
     marked = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
     return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -218,6 +218,12 @@ def test_vectors(spark):
     assert lsh.nearest(spark.createDataFrame([(50, [1.0, 0.0], 0)], kinds), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_rows_leave_other_ids_of_their_vector(spark):
+    rows = [*[(1, [1.0, 0.0], 0)] * 4, (2, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (4, [0.0, 1.0], 0), (50, [1.0, 0.0], 0)]
+    near = lsh.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), F.col("vec_id") % 50 == 0, 2)
+    assert [(r["rank"], r["vec_id"]) for r in near.orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
 def test_itq_and_lsh_recall(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(1500, 32))

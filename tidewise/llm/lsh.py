@@ -196,7 +196,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, name: str = "embed
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(name))).select(F.col(id_name).cast("long").alias("id"), F.col(name).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    index = written(rows.select("id", "v").withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy"), "index")
+    index = written(rows.select("id", "v").distinct().withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy"), "index")
     # queries that are equal are asked once, by the smallest id
     queries = written(rows.where("asks").groupBy("v").agg(F.min("id").alias("query")), "queries")
     total = index.count()

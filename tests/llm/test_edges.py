@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewise.llm import bpe, graph, itq, langid, lines, lsh, minhash, mixing, shard, tokenfile, toxic
+from tidewise.llm import bpe, edits, graph, itq, langid, lines, lsh, minhash, mixing, shard, tokenfile, toxic
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, comp string"
 LONG = "word" * 3000 + " " + "a b c d e f g " * 4000
@@ -124,7 +124,7 @@ def test_lines(spark, odd, none):
 
 
 def test_fuzzy_lines(spark):
-    """Edited lines: the same groups as by comparing all pairs."""
+    """Edited lines: the same groups as by comparing all pairs by edit similarity."""
     rng = np.random.default_rng(4)
     texts = []
     for k in range(30):
@@ -135,16 +135,6 @@ def test_fuzzy_lines(spark):
                 edited[w] = edited[w][::-1]
             texts.append(" ".join(edited).replace("0", "o").replace("1", "i"))
     clean = [lines.normalised(t) for t in texts]
-    hashes = lines.simhash(clean).view(np.uint64)
-
-    def distance(a, b):
-        before = np.arange(len(b) + 1)
-        for i, x in enumerate(a, 1):
-            now = np.minimum(before[1:] + 1, before[:-1] + (np.array(list(b)) != x))
-            now = np.concatenate([[i], now])
-            before = np.minimum.accumulate(now - np.arange(len(now))) + np.arange(len(now))
-        return before[-1]
-
     up = list(range(len(texts)))
 
     def find(x):
@@ -154,7 +144,7 @@ def test_fuzzy_lines(spark):
 
     for i in range(len(texts)):
         for j in range(i):
-            if clean[i] == clean[j] or (np.bitwise_count(hashes[i] ^ hashes[j]) <= 3 and 10 * distance(clean[i], clean[j]) <= max(len(clean[i]), len(clean[j]))):
+            if clean[i] == clean[j] or 10 * distance(clean[i], clean[j]) <= max(len(clean[i]), len(clean[j])):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     assert len({find(k) for k in range(len(texts))}) < len(texts) - 5
@@ -186,16 +176,57 @@ def test_fuzzy_lines_recall(spark):
     pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 10 * abs(len(clean[i]) - len(clean[j])) <= len(clean[j]) and set(clean[i].split()) & set(clean[j].split()) and 10 * distance(clean[i], clean[j]) <= max(len(clean[i]), len(clean[j]))]
     later = {j for _, j in pairs}
     assert len(later) > 200
-    got = {r["doc_id"]: r["n_removed"] for r in lines.without_repeated_lines(table(spark, [(k, t, "a") for k, t in enumerate(texts)]), shingled=True).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in lines.without_repeated_lines(table(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect()}
     assert {k for k, n in got.items() if n} <= later and sum(got[k] for k in later) >= 0.98 * len(later)
 
 
+def test_edit_similarity_equals_the_full_table():
+    rng = np.random.default_rng(2)
+    left, right = [], []
+    for size in rng.choice([0, 1, 2, 5, 9, 10, 11, 19, 20, 30, 60, 100], 400).tolist():
+        a = list(rng.choice(list("abcd"), size))
+        b = list(a)
+        for _ in range(int(rng.integers(0, max(1, size // 6) + 1))):
+            at, kind = int(rng.integers(0, len(b) + 1)), rng.integers(3)
+            b[at : at + (kind < 2)] = [str(rng.choice(list("abcd\u00e9\U0001f642")))] if kind else []
+        left.append("".join(a)), right.append("".join(b))
+    for least in (80, 90, 95):
+        true = [100 * distance(a, b) <= (100 - least) * max(len(a), len(b)) if b else 100 * len(a) <= (100 - least) * len(a) for a, b in zip(left, right)]
+        assert edits.alike(left, right, least).tolist() == true
+
+
+def test_hot_values_and_crowded_buckets_of_lines(spark):
+    """A group of thousands of edited copies of a line, whose buckets are hot: one line stays, and others are left alone."""
+    rng = np.random.default_rng(6)
+    base = [f"{a}{b}rim{b}{a}" for a in "bcdfghkl" for b in "aeiou"]
+    texts = []
+    for k in range(3000):
+        words = list(base)
+        for w in rng.choice(40, 1 + k % 3, replace=False):
+            words[w] = "".join(rng.permutation(list("qwertzu")))[:6]
+        texts.append(" ".join(words))
+    other = ["".join(rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))) + " " + "".join(rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))) for _ in range(300)]
+    docs = table(spark, [(k, t, "a") for k, t in enumerate(texts + other)])
+    hot, lines.HOT = lines.HOT, 2
+    try:
+        got = {r["doc_id"]: r["n_removed"] for r in lines.without_repeated_lines(docs).collect()}
+    finally:
+        lines.HOT = hot
+    assert got == {k: int(0 < k < 3000) for k in range(3300)}
+
+
+def test_lines_beside_columns_of_any_name(spark, odd):
+    docs = odd.select("*", *(F.lit(1).alias(c) for c in ("_id", "_gone", "row", "gone", "own", "key", "node", "text_hash")))
+    kept = lines.dedup_lines(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(r["doc_id"] or 0 for r in lines.dedup_lines(odd).collect())
+
+
 def test_short_lines(spark):
     """Exact repeats of any length go; fuzzy ones by characters, so scripts without blanks and short lines take part."""
     han = "".join(chr(0x4E00 + 7 * k) for k in range(60))
     texts = ["Home\nContact us\nright", "home!\ncontact us\nother", han, han[:30] + "\u4e01" + han[31:], "footer navi", "footer nav", "right"]
     docs = table(spark, [(k, t, "a") for k, t in enumerate(texts)])
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.without_repeated_lines(docs, shingled=True).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.without_repeated_lines(docs).collect()}
     assert got == {0: (texts[0], 0), 1: ("other", 2), 2: (han, 0), 3: ("", 1), 4: ("footer navi", 0), 5: ("", 1), 6: ("", 1)}
 
 

@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tidewise.llm import langid, lines, minhash
+from tidewise.llm import edits, langid, lines, minhash
 
 SF = "/root/testdata/sf0.001"
 QUERIES = __spark_entry__.queries()
@@ -126,15 +126,14 @@ def test_pipeline_against_a_plain_version(spark, documents):
     model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
     language, score = langid.score(model, [r["text"] for r in documents.values()])
     assert {r["doc_id"] for r in after[0]} == {k for k, lang, s in zip(documents, language, score) if lang != "und" and s >= 0.4}
-    first = {}
-    for r in sorted(after[0], key=lambda r: r["doc_id"]):
-        for p, line in enumerate(r["text"].split("\n")):
-            clean = lines.normalised(line)
-            if clean.count(" ") + 1 >= lines.LEAST_WORDS:
-                first.setdefault(clean, (r["doc_id"], p))
-    for r in after[1]:
-        kept = [lines.normalised(x) for x in r["text"].split("\n")]
-        assert all(first[c][0] == r["doc_id"] for c in kept if c in first) or len(kept) == len(set(kept))
+    # of all lines that stay no two are equal when normalised, and every line that went has one alike that stays
+    stays = [c for r in after[1] for x in r["text"].split("\n") if (c := lines.normalised(x))]
+    assert len(stays) == len(set(stays))
+    left = {r["doc_id"]: collections.Counter(map(lines.normalised, r["text"].split("\n"))) for r in after[1]}
+    went = {c for r in after[0] for c in collections.Counter(map(lines.normalised, r["text"].split("\n"))) - left.get(r["doc_id"], collections.Counter()) if c} - set(stays)
+    for c in went:
+        near = [x for x in stays if 0.9 * len(c) <= len(x) <= len(c) / 0.9] + [x for x in went if x != c and 0.9 * len(c) <= len(x) <= len(c) / 0.9]
+        assert edits.alike([c] * len(near), near, 90).any()
     comps, _ = brute_components({r["doc_id"]: r["text"] for r in after[1]}, 5)
     assert {r["doc_id"] for r in after[2]} == {k for k, c in comps.items() if k == c}
     copies = collections.Counter(r["doc_id"] for r in after[3])

@@ -89,8 +89,8 @@ def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[st
     members: (node, bucket), each pair once, and maybe a struct f of features. features: (node, ...) a row for each node,
     for members without f. possible(x, y): a condition on
     the feature structs named x and y that every linked pair fulfils. verify(pairs a, b): the pairs that are linked.
-    prepare(nodes): told once which nodes can be in a pair. dense(bucket, node): links (a, b) that connect what is linked
-    inside each bucket, without a row for each pair.
+    prepare(nodes): told once which nodes can be in a pair. dense(bucket, node, comp, f): links (a, b) that connect what is linked
+    inside each bucket and not yet in one component, without a row for each pair.
 
     First every member is compared with its bucket's most central member only (the one whose buckets hold most members: of
     edited copies, the original), which settles groups of copies of any size in one comparison a copy. A pair that is still
@@ -125,7 +125,7 @@ def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[st
     crossed = written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verify(crossed)
     if dense:
-        links = links.union(dense(rows.where("crowded").select("bucket", "node")))
+        links = links.union(dense(rows.where("crowded").select("bucket", "node", "comp", "f")))
     links = written(links, "links")
     out = merged(comps, links)
     drop_written(opened, rows, crossed, links, comps, grouped)

@@ -1,5 +1,6 @@
 """Every registered query of the sequence engine against its SQL twin on the smallest tables."""
 
+import importlib.util
 import os
 
 import duckdb
@@ -48,8 +49,16 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_whole_sort_has_every_row_in_order(spark):
-    got = QUERIES["l_sorted_whole"](spark, SF)
+    got = QUERIES["l_sorted"](spark, SF)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "rangepartitioning" in plan
     rows = got.collect()
     assert len(rows) == spark.read.parquet(f"{SF}/events.parquet").count() and [r["place"] for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_without_the_corpus_package(spark, monkeypatch):
+    """Entry, queries and twins where the optional subpackage is gone."""
+    find = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("tidewise.llm") else find(name, *a))
+    assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(ORACLES)
+    assert __spark_entry__.entry(spark).columns == ["event_type", "n"]

@@ -449,9 +449,9 @@ def l_reduce_rail(spark, sf):
     return whole(spark, sf).parallel(6, F.col("event_id") % 4).reduce_rails(F.sum, F.col("v"), 100, lambda seed, v: seed + v)
 
 
-@query(f"{_BY} SELECT rail, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM r WHERE v > 80 GROUP BY rail")
+@query(f"{_BY} SELECT rail, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM r GROUP BY rail")
 def l_collect(spark, sf):
-    found = _rails(spark, sf).filter(F.col("v") > 80).collect(F.col("event_id"))
+    found = _rails(spark, sf).collect(F.col("event_id"))
     return found.select("rail", listed(F.col("list")).alias("ids"))
 
 
@@ -460,24 +460,17 @@ def l_sequential(spark, sf):
     return _rails(spark, sf).sequential().df.select("event_id")
 
 
-@query(f"{_BY} SELECT event_id, v, row_number() OVER (ORDER BY v DESC, rail, event_id) AS place FROM r ORDER BY v DESC, rail, event_id LIMIT 50")
-def l_sorted(spark, sf):
-    rails = _rails(spark, sf)
-    top = rails.sorted(F.col("v").desc()).limit(50)
-    placed = Seq(top.withColumn("down", -F.col("v")), ("down", "rail", "event_id")).numbered("place")
-    return placed.df.select("event_id", "v", (F.col("place") + 1).alias("place"))
-
-
 @query(f"{_BY} SELECT event_id, v, row_number() OVER (ORDER BY v DESC, rail, event_id) AS place FROM r")
-def l_sorted_whole(spark, sf):
+def l_sorted(spark, sf):
+    """All rows in the order of the sort, each with its place."""
     rows = _rails(spark, sf).sorted(F.col("v").desc())
     placed = Seq(rows.withColumn("down", -F.col("v")), ("down", "rail", "event_id")).numbered("place")
     return placed.df.select("event_id", "v", (F.col("place") + 1).alias("place")).orderBy("place")
 
 
-@query(f"{_BY} SELECT string_agg(v::VARCHAR, ',' ORDER BY v) AS vs FROM r WHERE event_type = 'purchase'")
+@query(f"{_BY} SELECT string_agg(v::VARCHAR, ',' ORDER BY v) AS vs FROM r")
 def l_to_sorted_list(spark, sf):
-    found = _rails(spark, sf).filter(F.col("event_type") == "purchase").to_sorted_list(F.col("v"))
+    found = _rails(spark, sf).to_sorted_list(F.col("v"))
     return found.select(listed(F.col("list")).alias("vs"))
 
 

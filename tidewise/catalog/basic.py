@@ -149,7 +149,9 @@ def p_switchmap(spark, sf):
 
 @query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def p_lift(spark, sf):
-    return by_user(spark, sf).df.transform(lambda df: df.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds")))
+    """A user's operator, lifted: each user's kinds of event, numbered anew."""
+    kinds = lambda df: df.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.min("event_id").alias("event_id"))
+    return by_user(spark, sf).lift(kinds).df.drop("event_id")
 
 
 @query(f"WITH {EV} SELECT * FROM ev WHERE v % 2 = 0 AND event_type = 'view'")

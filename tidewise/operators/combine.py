@@ -8,14 +8,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.order import numbered, overlapping, running, tagged
+from ..plans.order import keyed_join, numbered, overlapping, running, tagged
 
 
 class Combine:
-    def concat_with(self, *others: DataFrame, source: str = "source_index"):
-        """The sequences one after another: the source's number leads the order."""
+    def concat_with(self, *others: DataFrame, source: str = "source_index", error: Column | None = None, delay_error: bool = False):
+        """The sequences one after another: the source's number leads the order.
+
+        error: which rows are errors. Without delay_error the whole ends before the first of them; with it only its own source does, and the next follow.
+        """
         parts = [df.withColumn(source, F.lit(k)) for k, df in enumerate((self.df, *others))]
-        return self.with_df(reduce(lambda a, b: a.unionByName(b), parts), order=(source, *self.order))
+        whole = reduce(lambda a, b: a.unionByName(b), parts)
+        if error is not None:
+            failed = {"_failed": ("max", F.coalesce(error.cast("int"), F.lit(0)))}
+            found = running(whole, self.order, (*self.key, source), failed) if delay_error else running(whole, (source, *self.order), self.key, failed)
+            whole = found.where("_failed = 0").drop("_failed")
+        return self.with_df(whole, order=(source, *self.order))
 
     def merge_with(self, *others: DataFrame):
         """All rows; the mutual order of different sources is that of the order columns."""
@@ -27,7 +35,7 @@ class Combine:
         union = reduce(lambda a, b: a.unionByName(b), (df.withColumn(index, F.lit(k)) for k, df in enumerate((self.df, *others))))
         winner = union.groupBy(*self.key).agg(F.min_by(index, F.struct(time, index)).alias("_winner"))
         if self.key:
-            joined = union.join(winner, list(self.key))
+            joined = keyed_join(union, winner, self.key)
         else:
             joined = union.crossJoin(F.broadcast(winner))  # one row
         return self.with_df(joined.where("_index = _winner").drop(index, "_winner"))
@@ -41,7 +49,7 @@ class Combine:
         for k, other in enumerate(others, 2):
             right = numbered(other.df, other.order, other.key, place)
             clash = [c for c in right.columns if c in out.columns and c not in (*self.key, place)]
-            out = out.join(right.withColumnsRenamed({c: f"{c}_{k}" for c in clash}), [*self.key, place])
+            out = keyed_join(out, right.withColumnsRenamed({c: f"{c}_{k}" for c in clash}), [*self.key, place])
         return self.with_df(out, order=(place,))
 
     def zip_with_values(self, values: Sequence, name: str = "other", place: str = "place"):
@@ -77,9 +85,11 @@ class Combine:
 
     def group_join(self, other: DataFrame, span: tuple[str, str], other_span: tuple[str, str], value: Column, order: Sequence[str], name: str = "matches", grain: int | None = None) -> DataFrame:
         """Each row with the ordered list of the values of the other's overlapping rows; an empty list where there are none."""
-        joined = self.join_overlapping(other.withColumn("_hit", F.lit(True)), span, other_span, "left", grain=grain)
+        # rows are told apart by a number, so that repeated rows stay as many as they are
+        numbered_rows = self.df.withColumn("_nr", F.monotonically_increasing_id())
+        joined = overlapping(numbered_rows, other.withColumn("_hit", F.lit(True)), list(self.key), span, other_span, "left", grain)
         item = F.when(F.col("_hit"), F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), value.alias("v")))
-        gathered = joined.groupBy(*self.df.columns).agg(F.sort_array(F.collect_list(item)).alias("_all"))
+        gathered = joined.groupBy("_nr", *self.df.columns).agg(F.sort_array(F.collect_list(item)).alias("_all"))
         return gathered.select(*self.df.columns, F.transform("_all", lambda s: s["v"]).alias(name))
 
 

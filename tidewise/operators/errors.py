@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.order import running
+from ..plans.order import keyed_join, running
 
 
 class Errors:
@@ -24,7 +24,7 @@ class Errors:
         found = self._failed(error)
         failed = found.where("_failed = 1")
         if self.key:
-            instead = fallback.join(failed.select(*self.key).distinct(), list(self.key), "left_semi")
+            instead = keyed_join(fallback, failed.select(*self.key).distinct(), self.key, "left_semi")
         else:
             instead = fallback.crossJoin(F.broadcast(failed.agg((F.count("*") > 0).alias("_any")))).where("_any").drop("_any")  # one row
         kept = found.where("_failed = 0").drop("_failed").withColumn(source, F.lit(0))

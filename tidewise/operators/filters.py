@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.order import numbered, running
+from ..plans.order import keyed_join, numbered, running
 
 
 def _flag(test: Column) -> Column:
@@ -61,7 +61,7 @@ class Filters:
         first = F.min(other_time).alias("_gate")
         if not self.key:
             return self.df.crossJoin(F.broadcast(other.agg(first)))  # one row
-        return self.df.join(other.groupBy(*self.key).agg(first), list(self.key), "left")
+        return keyed_join(self.df, other.groupBy(*self.key).agg(first), self.key, "left")
 
     def take_until_other(self, other: DataFrame, time: str, other_time: str):
         """Rows before the other's first row; all, where it has none and never ends."""

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.order import neighbour
+from ..plans.order import neighbour, overlapping, running
+
+#: What an error of a row's mapping does: ends the sequence there, or waits for the end and only costs the row itself.
+MODES = ("immediate", "boundary", "end")
 
 
 class Project:
@@ -17,17 +20,37 @@ class Project:
             columns = {k: F.when(c.isNull(), F.raise_error(F.lit(f"map: {k} is null"))).otherwise(c) for k, c in columns.items()}
         return self.with_df(self.df.select(*self.positions, *(c.alias(k) for k, c in columns.items())))
 
-    def flat_map(self, values: Column, name: str = "value"):
-        """Each row to the elements of an array; their mutual order isn't defined. Empty and null arrays give no row."""
-        return self.with_df(self.df.select(*self.positions, F.explode(values).alias(name)))
+    def _without_errors(self, error: Column | None, mode: str) -> DataFrame:
+        """The rows that are mapped: those before the first error, or with mode end all that don't fail (null is no error)."""
+        if mode not in MODES:
+            raise ValueError(f"an error mode is one of {MODES}")
+        if error is None:
+            return self.df
+        failed = F.coalesce(error, F.lit(False))
+        if mode == "end":
+            return self.df.where(~failed)
+        found = running(self.df, self.order, self.key, {"_failed": ("max", failed.cast("int"))})
+        return found.where("_failed = 0").drop("_failed")
+
+    def errors(self, error: Column, name: str = "errors") -> DataFrame:
+        """How many rows fail (0 where none does): what a delayed error reports at the end."""
+        return self.df.groupBy(*self.key).agg(F.count(F.when(error, 1)).alias(name))
+
+    def flat_map(self, values: Column, name: str = "value", error: Column | None = None, delay_error: bool = False):
+        """Each row to the elements of an array; their mutual order isn't defined. Empty and null arrays give no row.
+
+        error: which rows fail to map. Without delay_error the sequence ends before the first of them, with it only they are missing.
+        """
+        rows = self._without_errors(error, "end" if delay_error else "immediate")
+        return self.with_df(rows.select(*self.positions, F.explode(values).alias(name)))
 
     def flat_map_relation(self, inner: DataFrame, on: Column, how: str = "inner"):
         """Each row to the rows of a relation that meet a condition."""
         return self.with_df(self.df.join(inner, on, how))
 
-    def concat_map(self, values: Column, name: str = "value", position: str = "pos"):
-        """As flat_map, but in order: the element's position follows the row's order."""
-        return self.with_df(self.df.select(*self.positions, F.posexplode(values).alias(position, name)), order=(*self.order, position))
+    def concat_map(self, values: Column, name: str = "value", position: str = "pos", error: Column | None = None, mode: str = "immediate"):
+        """As flat_map, but in order: the element's position follows the row's order. mode: one of MODES; rows are mapped whole, so a boundary is at once."""
+        return self.with_df(self._without_errors(error, mode).select(*self.positions, F.posexplode(values).alias(position, name)), order=(*self.order, position))
 
     def flat_map_iterable(self, values: Column, name: str = "value", position: str = "pos"):
         return self.concat_map(values, name, position)
@@ -41,11 +64,10 @@ class Project:
         """
         spans = neighbour(self.df, self.order, self.key, {"_until": F.col(time)}, after=True)
         shared = [*self.key, *(on or [])]
-        within = (F.col(inner_time) >= F.col(time)) & (F.col("_until").isNull() | (F.col(inner_time) < F.col("_until")))
-        renamed = inner.withColumnsRenamed({c: f"_i_{c}" for c in shared})
-        for c in shared:
-            within = within & (F.col(c) == F.col(f"_i_{c}"))
-        return self.with_df(spans.join(renamed, within).drop("_until", *(f"_i_{c}" for c in shared)), order=(inner_time,))
+        # inner rows are spans of one unit, joined by cells of time
+        points = inner.withColumn("_end", F.col(inner_time) + 1)
+        found = overlapping(spans, points, shared, (time, "_until"), (inner_time, "_end"))
+        return self.with_df(found.drop("_until", "_end"), order=(inner_time,))
 
     def lift(self, function: Callable[[DataFrame], DataFrame]):
         """A user's operator on the table."""

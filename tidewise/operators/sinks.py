@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
 
 from pyspark.sql import DataFrame, Row
 
@@ -33,11 +35,35 @@ class Sinks:
     def last_row(self) -> DataFrame:
         return self.df.orderBy(*(self.df[c].desc() for c in self.order)).limit(1)
 
-    def blocking_first(self) -> Row | None:
-        return next(iter(self.first_row().collect()), None)
+    def _in_time(self, action: Callable[[], object], seconds: float | None):
+        """The action's result; a TimeoutError, and the end of its jobs, after so many seconds."""
+        if seconds is None:
+            return action()
+        context, group = self.df.sparkSession.sparkContext, f"tidewise-{uuid.uuid4().hex}"
 
-    def blocking_last(self) -> Row | None:
-        return next(iter(self.last_row().collect()), None)
+        def run():
+            context.setJobGroup(group, "limited in time", interruptOnCancel=True)
+            return action()
+
+        pool = ThreadPoolExecutor(1)
+        future = pool.submit(run)
+        try:
+            return future.result(seconds)
+        except Late:
+            context.cancelJobGroup(group)
+            raise TimeoutError(f"no result within {seconds} s") from None
+        finally:
+            pool.shutdown(wait=False)
+
+    def blocking_first(self, timeout: float | None = None) -> Row | None:
+        return self._in_time(lambda: next(iter(self.first_row().collect()), None), timeout)
+
+    def blocking_last(self, timeout: float | None = None) -> Row | None:
+        return self._in_time(lambda: next(iter(self.last_row().collect()), None), timeout)
+
+    def test(self, most: int = 100_000) -> Checked:
+        """An assertion helper over the ordered rows, for tests; more than ``most`` rows are an error, not a cut."""
+        return Checked(self, most)
 
     peek_last = blocking_last
 
@@ -55,3 +81,34 @@ class Sinks:
             return pool.submit(run)
         finally:
             pool.shutdown(wait=False)
+
+
+class Checked:
+    """Assertions on what a sequence delivers; each returns the helper, so that they chain."""
+
+    def __init__(self, seq: Sinks, most: int):
+        self.error: Exception | None = None
+        self.rows: list[Row] = []
+        try:
+            self.rows = seq._placed().limit(most + 1).collect()
+        except Exception as error:
+            self.error = error
+        if len(self.rows) > most:
+            raise ValueError(f"more than {most} rows")
+
+    def assert_values(self, column: str, *values) -> Checked:
+        found = [r[column] for r in self.rows]
+        assert found == list(values), f"{found} instead of {list(values)}"
+        return self
+
+    def assert_count(self, n: int) -> Checked:
+        assert len(self.rows) == n, f"{len(self.rows)} rows instead of {n}"
+        return self
+
+    def assert_complete(self) -> Checked:
+        assert self.error is None, f"failed: {self.error}"
+        return self
+
+    def assert_error(self, message: str = "") -> Checked:
+        assert self.error is not None and message in str(self.error), f"no such error, but {self.error}"
+        return self

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.order import neighbour, numbered, running
+from ..plans.order import keyed_join, neighbour, numbered, running
 from .windows import ID
 
 
 class Timed:
     def sample(self, ticks: DataFrame, time: str, tick_time: str):
         """At each tick the latest row since the tick before, if any; what follows the last tick is dropped."""
-        rows = self._ticked(ticks, time, tick_time)
-        count = ticks.groupBy(*self.key).agg(F.count("*").alias("_k"))
-        open_ = rows.join(count, list(self.key)) if self.key else rows.crossJoin(F.broadcast(count))  # one row
-        latest = F.max_by(F.struct(*self.df.columns), F.struct(*self.order))
-        return self.with_df(open_.where(F.col(ID) < F.col("_k")).groupBy(*self.key, ID).agg(latest.alias("_row")).select("_row.*"))
+        rows = self._ticked(ticks, time, tick_time, closed=True)
+        latest = F.row_number().over(Window.partitionBy(*self.key, ID).orderBy(*(F.desc(c) for c in self.order)))
+        return self.with_df(rows.where("_closed").withColumn("_n", latest).where("_n = 1").drop("_n", "_closed", ID))
 
     throttle_last = sample
 
@@ -54,7 +52,7 @@ class Timed:
         late = found.where("_late = 1")
         kept = found.where("_late = 0").drop("_late").withColumn(source, F.lit(0))
         if self.key:
-            instead = fallback.join(late.select(*self.key).distinct(), list(self.key), "left_semi")
+            instead = keyed_join(fallback, late.select(*self.key).distinct(), self.key, "left_semi")
         else:
             instead = fallback.crossJoin(F.broadcast(late.agg((F.count("*") > 0).alias("_any")))).where("_any").drop("_any")  # one row
         return self.with_df(kept.unionByName(instead.withColumn(source, F.lit(1))), order=(source, *self.order))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered_values
-from ..plans.order import numbered, overlapping, running
+from ..plans.order import keyed_join, numbered, overlapping, running
 
 ID = "window_id"
 
@@ -55,8 +55,8 @@ class Windows:
 
     # by ticks
 
-    def _ticked(self, ticks: DataFrame, time: str, tick_time: str) -> DataFrame:
-        """Rows with window_id, the number of ticks of their key at or before them."""
+    def _ticked(self, ticks: DataFrame, time: str, tick_time: str, closed: bool = False) -> DataFrame:
+        """Rows with window_id, the number of ticks of their key at or before them, and on demand _closed, whether one comes after them."""
         shared = [*self.key]
         row = F.struct(*self.df.columns)
         kind = self.df.select(row.alias("r")).schema["r"].dataType
@@ -65,7 +65,9 @@ class Windows:
         tick = ticks.select(*shared, F.col(tick_time).cast(types[time]).alias("_t"), F.lit(0).alias("_turn"), *(F.lit(None).cast(types[c]).alias(f"_o{k}") for k, c in enumerate(self.order)), F.lit(None).cast(kind).alias("_row"), F.lit(1).alias("_tick"))
         order = ["_t", "_turn", *(f"_o{k}" for k in range(len(self.order)))]
         counted = running(main.unionByName(tick), order, self.key, {ID: ("sum", F.col("_tick"))})
-        return counted.where("_tick = 0").select("_row.*", F.col(ID).cast("long").alias(ID))
+        if closed:
+            counted = running(counted, order, self.key, {"_closed": ("max", F.col("_tick"))}, reverse=True)
+        return counted.where("_tick = 0").select("_row.*", F.col(ID).cast("long").alias(ID), *([(F.col("_closed") == 1).alias("_closed")] if closed else []))
 
     def window_boundary(self, ticks: DataFrame, time: str, tick_time: str):
         """A tick closes the open window and opens the next; the first is open from the start."""
@@ -75,7 +77,7 @@ class Windows:
         """Key and window_id of all windows, empty ones included: 0 to the number of ticks (the last only on demand)."""
         count = ticks.groupBy(*self.key).agg(F.count("*").alias("_k"))
         if self.key:
-            count = self.df.select(*self.key).union(ticks.select(*self.key)).distinct().join(count, list(self.key), "left")
+            count = keyed_join(self.df.select(*self.key).union(ticks.select(*self.key)).distinct(), count, self.key, "left")
         to = F.coalesce("_k", F.lit(0)) - (0 if last else 1)
         ids = F.when(to >= 0, F.sequence(F.lit(0).cast("long"), to.cast("long")))
         return count.select(*self.key, F.explode(ids).alias(ID))
@@ -88,12 +90,12 @@ class Windows:
         """A list for each tick (maybe empty), and for what follows the last tick if there is anything."""
         found = self.window_boundary(ticks, time, tick_time).gathered(value, name)
         closed = self._all_windows(ticks, False)
-        tail = found.join(closed, [*self.key, ID], "left_anti")
+        tail = keyed_join(found, closed, [*self.key, ID], "left_anti")
         return self._filled(found, closed, name).unionByName(tail)
 
     def _filled(self, found: DataFrame, every: DataFrame, name: str) -> DataFrame:
         kind = found.schema[name].dataType
-        joined = every.join(found, [*self.key, ID], "left")
+        joined = keyed_join(every, found, [*self.key, ID], "left")
         return joined.select(*self.key, ID, F.coalesce(name, F.array().cast(kind)).alias(name))
 
     def window_boundary_size(self, ticks: DataFrame, time: str, tick_time: str, size: int):
@@ -107,9 +109,9 @@ class Windows:
         found = self.window_boundary_size(ticks, time, tick_time, size).gathered(value, name)
         kind = found.schema[name].dataType
         full = found.groupBy(*self.key, ID).agg(F.sum(F.size(name)).alias("_n"))
-        every = self._all_windows(ticks, True).join(full, [*self.key, ID], "left")
+        every = keyed_join(self._all_windows(ticks, True), full, [*self.key, ID], "left")
         parts = every.select(*self.key, ID, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.coalesce("_n", F.lit(0)) / size).cast("long"))).alias("part"))
-        return parts.join(found, [*self.key, ID, "part"], "left").select(*self.key, ID, "part", F.coalesce(name, F.array().cast(kind)).alias(name))
+        return keyed_join(parts, found, [*self.key, ID, "part"], "left").select(*self.key, ID, "part", F.coalesce(name, F.array().cast(kind)).alias(name))
 
     def buffer_boundary_size(self, ticks: DataFrame, time: str, tick_time: str, size: int, value: Column | None = None, name: str = "buffer") -> DataFrame:
         """Lists closed by a tick or by size; empty ones are skipped but for the last, which comes even if empty."""
@@ -117,7 +119,7 @@ class Windows:
         kind = found.schema[name].dataType
         count = self._all_windows(ticks, True).groupBy(*self.key).agg(F.max(ID).alias(ID))
         rows = found.groupBy(*self.key, ID).agg(F.sum(F.size(name)).alias("_n"))
-        last = count.join(rows, [*self.key, ID], "left").where(F.coalesce("_n", F.lit(0)) % size == 0)
+        last = keyed_join(count, rows, [*self.key, ID], "left").where(F.coalesce("_n", F.lit(0)) % size == 0)
         empty = last.select(*self.key, ID, F.floor(F.coalesce("_n", F.lit(0)) / size).cast("long").alias("part"), F.array().cast(kind).alias(name))
         return found.unionByName(empty)
 

@@ -83,6 +83,22 @@ def neighbour(df: DataFrame, order: Sequence[str], key: Sequence[str], items: Ma
     return found.withColumns({name: F.col(f"{name}.v") for name in items})
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which a null key meets a null key; the left side's key columns stay."""
+    if not keys:
+        raise ValueError("a key is required")
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return left.join(renamed, same_key(keys, "_k_"), how).drop(*(f"_k_{k}" for k in keys))
+
+
+def same_key(keys: Sequence[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for k, key in enumerate(keys):
+        same = F.col(key).eqNullSafe(F.col(f"{prefix}{key}"))
+        on = on & same if k else same
+    return on
+
+
 def tagged(parts: Mapping[str, DataFrame], shared: Sequence[str], tag: str = "_source") -> DataFrame:
     """One table of several sequences: the shared columns, a tag, and each part's columns in a struct named after it."""
     out = None
@@ -97,19 +113,14 @@ def tagged(parts: Mapping[str, DataFrame], shared: Sequence[str], tag: str = "_s
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], how: str = "inner", grain: int | None = None) -> DataFrame:
     """Rows of both sides whose half-open spans meet: left.start < right.end and right.start < left.end, null end meaning never.
 
-    Spans are numbers. Without a key, spans are cut into cells of ``grain`` (the mean length by default) and joined by
-    cell, so that no nested loop over all pairs is needed; a pair counts in the cell where the later span starts. A span
+    Spans are numbers. They are cut into cells of ``grain`` (the mean length by default) and joined by key and cell, so that
+    rows of a busy key meet only where they are near in time; a pair counts in the cell where the later span starts. A span
     without end runs to the last start of either side, and the grain is at least a 100,000th of the whole time, which bounds its
-    cells. An empty span, whose end isn't after its start, meets nothing.
+    cells. An empty span, whose end isn't after its start, meets nothing. Null keys meet null keys. With how="left" each row of the
+    left side that meets nothing comes once, repeated rows each for themselves.
     """
     (ls, le), (rs, re) = left_span, right_span
     meets = ((F.col(rs) < F.col(le)) | F.col(le).isNull()) & ((F.col(ls) < F.col(re)) | F.col(re).isNull())
-    if keys:
-        renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-        on = meets
-        for k in keys:
-            on = on & (F.col(k) == F.col(f"_r_{k}"))
-        return left.join(renamed, on, how).drop(*(f"_r_{k}" for k in keys))
     ends = [df.agg(F.min(s), F.max(s), F.avg(F.col(e) - F.col(s)), F.count("*")).first() for df, s, e in ((left, ls, le), (right, rs, re))]
     starts = [e[0] for e in ends if e[0] is not None], [e[1] for e in ends if e[1] is not None]
     first, last = min(starts[0], default=0), max(starts[1], default=0)
@@ -117,19 +128,25 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], left_spa
         longest = max([1, *(int(e[2]) for e in ends if e[2])])
         grain = max(1, longest, (last - first) // 100_000)
 
+    def cell(at: Column) -> Column:
+        return F.floor((at - F.lit(first)) / F.lit(grain)).cast("long")
+
     def cells(start: str, end: str) -> Column:
         to = F.least(F.coalesce(F.col(end) - 1, F.lit(last)), F.lit(last))
-        cell = lambda c: F.floor((c - F.lit(first)) / F.lit(grain)).cast("long")
         return F.when(F.col(end).isNull() | (F.col(end) > F.col(start)), F.sequence(cell(F.col(start)), F.greatest(cell(F.col(start)), cell(to))))
 
-    cut_left = left.withColumn("_cell", F.explode(cells(ls, le)))
-    cut_right = right.withColumn("_cell_r", F.explode(cells(rs, re)))
-    here = F.col("_cell") == F.floor((F.greatest(ls, rs) - F.lit(first)) / F.lit(grain)).cast("long")
-    pairs = cut_left.join(cut_right, (F.col("_cell") == F.col("_cell_r")) & here & meets).drop("_cell", "_cell_r")
-    if how != "left":
-        return pairs
-    matched = pairs.select(*left.columns).distinct().withColumnsRenamed({c: f"_m_{c}" for c in left.columns})
-    same = F.lit(True)
-    for c in left.columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
-    return pairs.unionByName(left.join(matched, same, "left_anti"), allowMissingColumns=True)
+    outer = how == "left"
+    cut_left = left.withColumn("_row", F.monotonically_increasing_id()) if outer else left
+    cut_left = cut_left.withColumn("_cell", (F.explode_outer if outer else F.explode)(cells(ls, le)))
+    cut_right = right.withColumnsRenamed({k: f"_k_{k}" for k in keys}).withColumn("_cell_r", F.explode(cells(rs, re))).withColumn("_met", F.lit(True))
+    here = F.col("_cell") == cell(F.greatest(ls, rs))
+    on = (F.col("_cell") == F.col("_cell_r")) & here & meets
+    if keys:
+        on = same_key(keys, "_k_") & on
+    pairs = cut_left.join(cut_right, on, how)
+    if outer:
+        # a row's cells without a match go, but for one of a row that has none at all
+        own = Window.partitionBy("_row")
+        alone = F.max("_met").over(own).isNull() & F.coalesce(F.col("_cell") == F.min("_cell").over(own), F.lit(True))
+        pairs = pairs.withColumn("_alone", alone).where(F.col("_met").isNotNull() | F.col("_alone")).drop("_row", "_alone")
+    return pairs.drop("_cell", "_cell_r", "_met", *(f"_k_{k}" for k in keys))

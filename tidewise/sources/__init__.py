@@ -90,21 +90,36 @@ def defer(supplier: Callable[[], Seq]) -> Callable[[], Seq]:
 
 
 @contextmanager
-def using(resource: Callable[[], object], factory: Callable[[object], Seq], dispose: Callable[[object], None]) -> Iterator[Seq]:
-    """A sequence over a resource that is disposed of afterwards, also if the factory fails."""
+def using(resource: Callable[[], object], factory: Callable[[object], Seq], dispose: Callable[[object], None], eager: bool = True, on_complete: Callable[[], None] | None = None) -> Iterator[Seq]:
+    """A sequence over a resource that is disposed of afterwards, also if the factory fails: before the completion is told (eager) or after it."""
     held = resource()
+    done = False
     try:
         yield factory(held)
+        if on_complete and not eager:
+            on_complete()
+        done = True
     finally:
         dispose(held)
+    if done and on_complete and eager:
+        on_complete()
 
 
-def generate(spark: SparkSession, state, step: Callable[[object], tuple | None], most: int, schema: str = "value int") -> Seq:
-    """An unfold on the driver: step(state) gives (value, state) or None to end; at most ``most`` rows. See generate_sql for executors."""
+def generate(spark: SparkSession, state, step: Callable[[object], tuple | None], most: int | None = None, schema: str = "value int", consume: Callable[[object], None] | None = None) -> Seq:
+    """An unfold on the driver: step(state) gives (value, state) or None to end. See generate_sql for executors.
+
+    most: an error beyond so many rows (None: no such limit). consume: told the last state at the end, also if a step fails.
+    """
     values = []
-    while len(values) < most and (made := step(state)) is not None:
-        value, state = made
-        values.append(value)
+    try:
+        while (made := step(state)) is not None:
+            if most is not None and len(values) >= most:
+                raise ValueError(f"more than {most} rows were generated")
+            value, state = made
+            values.append(value)
+    finally:
+        if consume:
+            consume(state)
     return from_iterable(spark, values, schema)
 
 

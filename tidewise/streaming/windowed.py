@@ -47,7 +47,9 @@ def overlap_join(left: DataFrame, right: DataFrame, times: tuple[str, str], dela
 def run_available(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote; for tests and backfills."""
     name = f"stream_{uuid.uuid4().hex}"
-    place = checkpoint or tempfile.mkdtemp(prefix="tidewise-stream-")
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    # a machine-local folder only where the session names no shared one, as in tests
+    place = checkpoint or (f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="tidewise-stream-"))
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)

@@ -276,6 +276,52 @@ def test_itq_and_lsh_recall(spark):
     assert all(abs(r["score"] - cosine[r["query_id"], r["vec_id"]]) < 1e-12 for r in found)
 
 
+def _planted(rng, rows, size, copies, offset=0.0):
+    """Unit vectors about a common offset, and of the first ``copies`` of them others at a cosine of 0.94 to 0.99."""
+    base = rng.normal(size=(rows, size)) + offset
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=(copies, size))
+    aside -= (aside * base[:copies]).sum(1, keepdims=True) * base[:copies]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.94, 0.99, (copies, 1))
+    return np.concatenate([base, cosine * base[:copies] + np.sqrt(1 - cosine**2) * aside])
+
+
+def test_planted_links_in_a_label_of_thousands(spark):
+    """Coded path: at least 0.99 of the links that comparing all pairs finds, and none that it doesn't."""
+    vectors = _planted(np.random.default_rng(5), 5000, 48, 600).astype(np.float32)
+    docs = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.93
+    np.fill_diagonal(links, False)
+    got = {r["vec_id"]: r for r in itq.near_vectors(docs).collect()}
+    true = links.sum(1)
+    assert true.sum() >= 1200 and all(got[k]["n_links"] <= true[k] for k in got) and sum(r["n_links"] for r in got.values()) >= 0.99 * true.sum()
+    assert sum(got[5000 + k]["component_id"] == k and not got[5000 + k]["kept"] for k in range(600)) >= 594
+
+
+def test_codes_are_balanced_on_concentrated_vectors():
+    rng = np.random.default_rng(7)
+    unit = _planted(rng, 8000, 64, 0, offset=0.5)
+    codes = itq.learn(unit, [0] * len(unit), len(unit), 0.93)
+    signs = codes.signs(unit, [0] * len(unit))
+    assert 0.45 < signs.mean(0).min() and signs.mean(0).max() < 0.55
+    for t in range(min(codes.tables, 10)):
+        assert np.bincount(codes.substrings(signs)[:, t]).max() <= 4 * len(unit) / 2**codes.bits
+    groups = rng.integers(0, 4, 8000)
+    clusters = unit + 3 * rng.normal(size=(4, 64))[groups]
+    clusters /= np.linalg.norm(clusters, axis=1, keepdims=True)
+    codes = itq.learn(clusters, groups.tolist(), 2000, 0.93)
+    signs = codes.signs(clusters, groups.tolist())
+    assert all(0.4 < signs[groups == g].mean(0).min() and signs[groups == g].mean(0).max() < 0.6 for g in range(4))
+
+
+def test_repeated_and_null_ids_of_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0), (None, [1.0, 0.0], 0), (None, [0.6, -0.8], 0)]
+    got = sorted(map(tuple, itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 2, 1, False), (None, 0, None, True)], key=str)
+
+
 def test_shards(spark, odd, none):
     got = shard.sharded(odd, 4).collect()
     assert sorted(r["row"] for r in got) == list(range(10)) and {r["law"] for r in got} == {"rows"}

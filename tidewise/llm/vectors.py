@@ -21,17 +21,21 @@ def matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def sample_rows(vectors: DataFrame, name: str, rows: int, total: int, seed: int) -> np.ndarray:
-    """About ``rows`` vectors (the bound) of ``total``, chosen by a hash of the vector, as unit rows of the commonest length."""
+def sample_labelled(vectors: DataFrame, name: str, label: Column, rows: int, total: int, seed: int) -> tuple[np.ndarray, list]:
+    """About ``rows`` vectors (the bound) of ``total``, chosen by a hash of the vector, as unit rows of the commonest length, and their labels."""
     place = F.pmod(F.xxhash64(F.col(name), F.lit(seed)), F.lit(1 << 30))
-    found = vectors.where(place < int(min(1.0, rows / max(total, 1)) * (1 << 30)) + 1).select(F.col(name).cast("array<double>").alias("v"), place.alias("p")).limit(2 * rows).collect()
-    found = [r["v"] for r in sorted(found, key=lambda r: (r["p"], r["v"]))]
+    found = vectors.where(place < int(min(1.0, rows / max(total, 1)) * (1 << 30)) + 1).select(F.col(name).cast("array<double>").alias("v"), place.alias("p"), label.alias("l")).limit(2 * rows).collect()
+    found = [(r["v"], r["l"]) for r in sorted(found, key=lambda r: (r["p"], r["v"], str(r["l"])))]
     if not found:
-        return np.zeros((0, 1))
-    lengths = [len(v) for v in found]
+        return np.zeros((0, 1)), []
+    lengths = [len(v) for v, _ in found]
     length = max(set(lengths), key=lambda k: (lengths.count(k), k))
-    out = np.array([v for v in found if len(v) == length])
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+    out = np.array([v for v, _ in found if len(v) == length])
+    return out / np.linalg.norm(out, axis=1, keepdims=True), [x for v, x in found if len(v) == length]
+
+
+def sample_rows(vectors: DataFrame, name: str, rows: int, total: int, seed: int) -> np.ndarray:
+    return sample_labelled(vectors, name, F.lit(0), rows, total, seed)[0]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

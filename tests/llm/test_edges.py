@@ -348,6 +348,14 @@ def test_token_files(spark, odd, none):
     values = np.array([0, 1, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7])
     for n in range(len(values) + 1):
         assert (tokenfile.decode(*tokenfile.encode(values[:n]), n) == values[:n]).all()
+    # another session needs nothing but the folder
+    place = tokenfile.write_tokens(odd, path)
+    assert sorted(map(tuple, tokenfile.read_tokens(spark.newSession(), place).collect()), key=str) == sorted(map(tuple, got.values()), key=str)
+    other = open(path).read().replace("|[\\\\p{N}]|", "|[\\\\p{N}]+|")
+    assert other != open(path).read() and not tokenfile.WordEncoder(other).plain
+    texts = ["12 345 a1b22", "It's 2024, x."]
+    ids, _ = tokenfile.WordEncoder(other).encode_many(texts, 2)
+    assert ids.tolist() == [i for t in texts for i in [*Tokenizer.from_str(other).encode(t, add_special_tokens=False).ids, 2]]
     encoder = tokenfile.WordEncoder(open(path).read())
     strange = ["A.B, c.. D., e.", "It's, I'LL. o'clock", "ΣΑΣ ΟΔΟΣ", "H̱ẖ é", "İ ı", "a\x1cb\x85c\xa0d e　f", "x,", ".\n,", "<|endoftext|>x, A<|endoftext|>.", "ª º ² ǅ"]
     ids, sizes = encoder.encode_many(strange, 2)
@@ -366,7 +374,8 @@ def test_mixing(spark, odd, none):
     assert target["a"] == 20 and target[None] == 20 and abs(sum(target.values()) - 1.5 * 2020) < 1e-6 and target["b"] / target["c"] == 2
     many = table(spark, [(k, "a b c d e", f"s{k % 4}") for k in range(4000)])
     taken = {}
-    for r in mixing.mixed(many).groupBy("source").agg(F.sum(F.col("size") * F.col("repetitions")).alias("t"), F.first("target").alias("w")).collect():
+    sized = many.select("doc_id", "source", F.lit(5).cast("long").alias("size"))
+    for r in mixing.repeated(sized, mixing.mix_rates(sized)).groupBy("source").agg(F.sum(F.col("size") * F.col("repetitions")).alias("t"), F.first("target").alias("w")).collect():
         taken[r["source"]] = r["t"] / r["w"]
     assert all(abs(v - 1) < 0.02 for v in taken.values())
     small, mixing.SMALL_TABLE = mixing.SMALL_TABLE, 0

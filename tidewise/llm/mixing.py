@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import drop_written, written
+
 #: Weights by the source's rank in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 SLICES = 2048
@@ -59,11 +61,15 @@ def source_targets(sizes: DataFrame, share: float = 1.5, epochs: float = 2.0, we
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mixed(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """``docs`` with size, source_size, target and repetitions of each row."""
-    sized = docs.withColumn("size", words(F.col("text"))).withColumn("_at", _place(F.col("doc_id"), seed))
-    of_slice = F.shiftright("_at", 33)
-    slices = docs.select("source", words(F.col("text")).alias("size"), _place(F.col("doc_id"), seed).alias("_at")).groupBy("source", of_slice.alias("slice")).agg(F.sum("size").alias("slice_size"), F.count("*").alias("rows"))
+def _sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size of every row, written: the texts are read and counted once."""
+    return written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+
+
+def mix_rates(sizes: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """From (doc_id, source, size) of all rows, for each source: source_size, target, and which of its rows are taken how often."""
+    at = _place(F.col("doc_id"), seed)
+    slices = written(sizes.groupBy("source", F.shiftright(at, 33).alias("slice")).agg(F.sum("size").alias("slice_size"), F.count("*").alias("rows")), "slices")
     targets = source_targets(slices.select("source", F.col("slice_size").alias("size")), share, epochs, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = targets.withColumn("whole", F.floor(rate + 1e-12)).withColumn("fraction", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
@@ -74,11 +80,18 @@ def mixed(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tup
     part = F.when(F.col("rows") == 1, F.round(part)).otherwise(part)
     edge = last.groupBy("_s").agg(F.min(F.struct("slice", part.alias("part"))).alias("edge"))
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_source"), "source_size", "target", "whole", F.coalesce("edge.slice", F.lit(SLICES)).alias("_slice"), F.coalesce("edge.part", F.lit(0.0)).alias("_part"))
+    return written(plan, "rates")
+
+
+def repeated(rows: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
+    """``rows`` (doc_id, source and others) with source_size, target and repetitions by the rates of :func:`mix_rates`."""
+    placed = rows.withColumn("_at", _place(F.col("doc_id"), seed))
     if plan.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
-        joined = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
+        joined = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")))
     else:
         salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.withColumn("_own", F.pmod(F.col("_at"), F.lit(SALTS))).join(salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt"))).drop("_own", "_salt")
+        joined = placed.withColumn("_own", F.pmod(F.col("_at"), F.lit(SALTS))).join(salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt"))).drop("_own", "_salt")
+    of_slice = F.shiftright("_at", 33)
     inside = F.pmod(F.col("_at"), F.lit(1 << 33)) < F.col("_part") * float(1 << 33)
     extra = F.when((of_slice < F.col("_slice")) | ((of_slice == F.col("_slice")) & inside), 1).otherwise(0)
     return joined.withColumn("repetitions", (F.col("whole") + extra).cast("long")).drop("_at", "_source", "whole", "_slice", "_part")
@@ -86,14 +99,18 @@ def mixed(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tup
 
 def mix_plan(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    found = mixed(docs.select("doc_id", "source", "text"))
-    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repetitions")).alias("taken"))
+    sizes = _sizes(docs)
+    return repeated(sizes, mix_rates(sizes)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repetitions")).alias("taken"))
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` repeated as the mix asks, rows of no repetition gone; documents without a word stay once."""
-    found = mixed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"))
-    times = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.col("repetitions"))
+    sizes = _sizes(docs)
+    plan = mix_rates(sizes)
+    drop_written(sizes)
+    found = repeated(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text"), plan)
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    times = F.when(wordless, F.lit(1).cast("long")).otherwise(F.col("repetitions"))
     return found.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("row.*")
 
 

@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed on them but lies beside the driver's copy."""
+    """Let Python workers on this machine import the package where it only lies beside the driver; a cluster has it installed or gets it by --py-files."""
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in environment.get("PYTHONPATH", "").split(":"):
         environment["PYTHONPATH"] = ":".join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
@@ -64,12 +64,6 @@ def without_collection() -> Iterator[None]:
         gc.enable()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def crc_bucket(doc_id: Column | str, buckets: int) -> Column:
     """crc32 of the id's decimal text, modulo ``buckets``; null where the id is null."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % buckets

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import drop_written, map_arrow, pieces, without_collection, written
@@ -63,6 +63,17 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+#: The parts of a tokenizer's description for which words may be encoded apart; any other takes the longer way.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
 _marks = re.compile("[\u0300-\u036f]").search
 
 
@@ -79,7 +90,7 @@ class WordEncoder:
     another, whatever the case of a to z (unless marks that combine with letters are about), and a lone stop
     after letters is a piece of its own. Words of plain letters that the normaliser leaves alone go straight to the
     library's merging model; all others through the whole tokenizer, told apart by the offsets it returns. That this
-    holds is checked on the tokenizer's own description; for any other every word takes the longer way.
+    holds is checked on the tokenizer's own description, patterns and settings included; any other encodes whole texts.
     """
 
     def __init__(self, content: str):
@@ -88,9 +99,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.model = self.tokenizer.model
         made = json.loads(content)
-        steps = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
-        ways = [n["type"] for n in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.plain = steps == ["NFC", "Replace", "Lowercase"] and ways == ["Split", "ByteLevel"]
+        settings = {k: v for k, v in made["model"].items() if k not in ("vocab", "merges")}
+        self.plain = made.get("normalizer") == NORMALIZER and made.get("pre_tokenizer") == PRE_TOKENIZER and made.get("post_processor") is None and settings == MODEL
         self.letters = byte_letters()
         self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
         self._forget()
@@ -110,7 +120,7 @@ class WordEncoder:
         for k, word in enumerate(fresh):
             tail = stops.get(word[-1])
             body = word if tail is None else word[:-1]
-            if self.plain and self._simple(body):
+            if self._simple(body):
                 ids = [t.id for t in tokenize(body if body.isascii() else body.encode().decode("latin-1").translate(letters))]
                 found.append(ids if tail is None else ids + tail)
             else:
@@ -134,6 +144,10 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each followed by ``end``, and how many each has."""
+        if not self.plain:
+            found = [[*self.tokenizer.encode(t, add_special_tokens=False).ids, end] for t in texts]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
         with without_collection():
             return self._encode_many(texts, end)
 
@@ -143,7 +157,7 @@ class WordEncoder:
         words: list[str] = []
         counts = []
         for text in texts:
-            if self.plain and not (not text.isascii() and _marks(text)):
+            if text.isascii() or not _marks(text):
                 text = text.encode().lower().decode()
             own = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             words += own
@@ -212,8 +226,8 @@ def _ascending_blocks(docs: DataFrame, content, end: int, width: str) -> DataFra
     return map_arrow(ordered, run, f"part long, block long, before long, docs array<{kind}>, lengths array<long>, ids binary, counts binary")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> tuple[DataFrame, np.ndarray]:
-    """The token folder of ``docs`` (its path is ``_tidewise_path`` of the result) and the id of every rank.
+def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> str:
+    """Write the token folder of ``docs`` to the shared folder; its path.
 
     The ranks are one row for each id of the vocabulary, whose size is a constant of the tokenizer's file.
     """
@@ -252,12 +266,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> tuple[DataFra
     folder = written(map_arrow(staged.where("block >= 0").drop("counts"), code, f"{schema}, control binary, data binary"), "tokens")
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{folder._tidewise_path}-ranks")
     drop_written(staged)
-    return folder, by_rank
+    return folder._tidewise_path
 
 
-def read_tokens(folder: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document of a token folder, from its files alone."""
-    spark = folder.sparkSession
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document of a token folder, from its files alone, ranks included."""
+    folder = spark.read.parquet(path)
+    # a row for each id of the vocabulary
+    ranks = {r["rank"]: r["id"] for r in spark.read.schema("rank long, id long").parquet(f"{path}-ranks").collect()}
+    by_rank = np.array([ranks[k] for k in range(len(ranks))], np.int64)
     # a row for each part of the folder
     sums = sorted((r["part"], r["n"]) for r in folder.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect())
     starts = dict(zip((p for p, _ in sums), np.cumsum([0, *(n for _, n in sums)]).tolist()))
@@ -278,5 +295,4 @@ def read_tokens(folder: DataFrame, by_rank: np.ndarray) -> DataFrame:
 
 
 def token_report(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
-    folder, by_rank = write_tokens(docs, tokenizer, end)
-    return read_tokens(folder, by_rank)
+    return read_tokens(docs.sparkSession, write_tokens(docs, tokenizer, end))

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, written
+from .shared import drop_written, map_arrow, written
+
+
+#: Edges up to which one task finds the components (some 50 MB); beyond it rounds of joins do.
+FEW_EDGES = 1_000_000
+
+
+def _few_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [[b.column(c).to_numpy() for c in ("u", "v")] for b in batches if b.num_rows]
+    if held:
+        u, v = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        comp = nodes[local_components(len(nodes), at[: len(u)], at[len(u) :])]
+        for a in range(0, len(nodes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a : a + 100_000]), pa.array(comp[a : a + 100_000])], names=["node", "comp"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,9 +32,14 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: each round hangs a node's larger neighbours, then its smaller ones, below its
     smallest neighbour; the rounds grow with the logarithm of the longest path. Sums and minima are combined before
     the shuffle and the joins are plain equi-joins, which skewed-join handling can split. Each round is written to the shared folder.
+    Up to FEW_EDGES edges, a checked bound, one task does it at once, with the same result.
     Loops and repeated edges have no effect; no edges give no rows; null nodes are left out. The result is a written table.
     """
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+    if now.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        out = written(map_arrow(now.repartition(1), _few_components, "node long, comp long"), "components")
+        drop_written(now)
+        return out
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -78,7 +98,10 @@ def local_components(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         before = label.copy()
         np.minimum.at(label, i, label[j])
         np.minimum.at(label, j, label[i])
-        label = np.minimum(label, label[label])
+        # a root follows its members, and all follow their roots
+        np.minimum.at(label, before, label.copy())
+        while (label != (label := label[label])).any():
+            pass
         if (label == before).all():
             return label
 

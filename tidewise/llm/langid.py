@@ -26,10 +26,12 @@ from .words import Buffer, letters_only
 
 #: Slots of the hashed n-gram weights, and the n-gram sizes in bytes (the blank at an edge counts).
 SLOTS, SIZES = 1 << 16, (2, 3, 4, 5)
-#: Slots of the lexicon, and words a language has in it at most.
-LEXICON_SLOTS, LEXICON_WORDS = 1 << 20, 4000
-#: Bound of the fitting sample: documents of each language, and words taken from each at a seeded place.
-SAMPLE_DOCS, SAMPLE_WORDS = 150, 240
+#: Slots of the lexicon; every word that a language's sample has more than once is in it.
+LEXICON_SLOTS = 1 << 20
+#: Bound of the fitting sample: documents of each language, whole. More languages than MOST_LANGUAGES are refused.
+SAMPLE_DOCS, MOST_LANGUAGES = 150, 1000
+#: Words up to which the sample is gone through ROUNDS times; of a longer one every word is still used once at least.
+ROUNDS, ROUND_WORDS = 6, 150_000
 UNKNOWN = "und"
 #: Words whose chains are run together.
 CHAIN_WORDS = 1_500_000
@@ -39,15 +41,15 @@ CHAIN_WORDS = 1_500_000
 class Model:
     languages: list[str]
     weight: np.ndarray  # (SLOTS, L): n-grams
-    lexicon: np.ndarray  # (LEXICON_SLOTS,): bit l set where language l knows the word
+    lexicon: np.ndarray  # (LEXICON_SLOTS, L / 64): bit l set where language l knows the word
     member: np.ndarray  # (L, L): weight for label m of being in language l's lexicon
     transition: np.ndarray  # (L, L): from, to
     start: np.ndarray  # (L,)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """(words, L) of 0 and 1: the lexicons that have each word."""
-        bits = self.lexicon[(hashes % np.uint64(LEXICON_SLOTS)).astype(np.int64)]
-        return ((bits[:, None] >> np.arange(len(self.languages), dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
+        bits, label = self.lexicon[(hashes % np.uint64(LEXICON_SLOTS)).astype(np.int64)], np.arange(len(self.languages))
+        return ((bits[:, label // 64] >> (label % 64).astype(np.uint64)) & np.uint64(1)).astype(np.float32)
 
     def emissions(self, buffer: Buffer) -> np.ndarray:
         """(words, L) scores; the mean of a word's n-gram weights keeps long words from dominating."""
@@ -102,12 +104,15 @@ def sample(docs: DataFrame, label: str, docs_a_label: int, seed: int) -> dict[st
 
     A label's count sets the share of its rows that comes to the driver, so no label is sorted or gathered whole.
     """
-    counts = {r[label]: r["n"] for r in docs.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in docs.groupBy(label).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return {}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     share = F.coalesce(*(F.when(F.col(label) == k, F.lit(min(1.0, 2.0 * docs_a_label / n))) for k, n in counts.items()))
-    rows = docs.where(place < share).select(F.col(label).alias("label"), "text", place.alias("place")).collect()
+    # rows that repeat both id and text count once, so that the share bounds what comes
+    rows = docs.where(place < share).groupBy(F.col(label).alias("label"), place.alias("place")).agg(F.min("text").alias("text")).collect()
     out: dict[str, list[str]] = {k: [] for k in sorted(counts)}
     for row in sorted(rows, key=lambda r: (r["place"], r["text"])):
         if len(out[row["label"]]) < docs_a_label:
@@ -115,7 +120,7 @@ def sample(docs: DataFrame, label: str, docs_a_label: int, seed: int) -> dict[st
     return out
 
 
-def fit(texts: dict[str, list[str]], seed: int = 7, rounds: int = 6) -> Model:
+def fit(texts: dict[str, list[str]], seed: int = 7, rounds: int = ROUNDS) -> Model:
     """Maximise the conditional likelihood of spliced chains by AdaGrad on seeded mini-batches."""
     rng = np.random.default_rng(seed)
     languages = sorted(texts)
@@ -124,28 +129,27 @@ def fit(texts: dict[str, list[str]], seed: int = 7, rounds: int = 6) -> Model:
     frequent: list[dict[str, int]] = [{} for _ in languages]
     for k, language in enumerate(languages):
         for text in texts[language]:
-            words = letters_only(text).split()
-            at = int(rng.integers(0, max(1, len(words) - SAMPLE_WORDS + 1)))
-            words = words[at : at + SAMPLE_WORDS]
+            words, at = letters_only(text).split(), 0
             for word in words:
                 frequent[k][word] = frequent[k].get(word, 0) + 1
-            while words:
+            while at < len(words):
                 cut = int(rng.integers(4, 40))
-                stretches.append((k, words[:cut]))
-                words = words[cut:]
-    model = Model(languages, np.zeros((SLOTS, count), np.float32), np.zeros(LEXICON_SLOTS, np.uint64), np.zeros((count, count), np.float32), np.zeros((count, count), np.float32), np.zeros(count, np.float32))
+                stretches.append((k, words[at : at + cut]))
+                at += cut
+    model = Model(languages, np.zeros((SLOTS, count), np.float32), np.zeros((LEXICON_SLOTS, -(-count // 64)), np.uint64), np.zeros((count, count), np.float32), np.zeros((count, count), np.float32), np.zeros(count, np.float32))
     for k, words in enumerate(frequent):
-        best = sorted((w for w, n in words.items() if n > 1), key=lambda w: (-words[w], w))[:LEXICON_WORDS]
+        best = sorted(w for w, n in words.items() if n > 1)
         if best:
             slots = (Buffer([" ".join(best)]).word_hash() % np.uint64(LEXICON_SLOTS)).astype(np.int64)
-            model.lexicon[slots] |= np.uint64(1) << np.uint64(k)
+            model.lexicon[slots, k // 64] |= np.uint64(1) << np.uint64(k % 64)
     if count < 2 or not stretches:
         return model
     order = rng.permutation(len(stretches))
     spliced = [[stretches[i] for i in order[a : a + 3]] for a in range(0, len(order), 3)]
     parts = [model.weight, model.member, model.transition, model.start]
     squares = [np.full_like(p, 1e-6) for p in parts]
-    for _ in range(rounds):
+    every = sum(len(words) for _, words in stretches)
+    for _ in range(max(1, min(rounds, rounds * ROUND_WORDS // every))):
         for a in range(0, len(spliced), 48):
             batch = spliced[a : a + 48]
             buffer = Buffer([" ".join(w for _, words in chain for w in words) for chain in batch])

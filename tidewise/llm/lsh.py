@@ -37,6 +37,8 @@ SAMPLE, SAMPLE_QUERIES = 6000, 150
 MOST_PROBES = 2048
 #: Vectors of a table in one task, and queries of an exact pass held at once.
 TASK_ROWS, QUERY_BLOCK = 6000, 2048
+#: Scores held at once.
+CELLS = 1 << 22
 
 
 @dataclass
@@ -107,11 +109,25 @@ def tuned(sample: np.ndarray, total: int, k: int, seed: int = 3) -> Hashes:
         functions -= 1
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of each row's k largest, ties to the smaller id."""
-    by_id = np.argsort(ids, kind="stable")
-    top = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-    return np.repeat(np.arange(len(scores)), top.shape[1]), top.ravel()
+def best_of(vectors: np.ndarray, norms: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of ``rows`` the k of ``own`` of largest cosine, ties to the smaller id: places in rows and in own, and the cosine.
+
+    Candidates come from matrix products, in stretches of CELLS; the cosine of what is near the k-th is taken again pair by
+    pair, so that equal vectors score equally whatever the shape of the product.
+    """
+    found = []
+    step = max(1, CELLS // max(len(own), 1))
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        scores = (vectors[some] @ vectors[own].T) / (norms[some][:, None] * norms[own])
+        least = np.partition(scores, -k, axis=1)[:, -k] if len(own) > k else scores.min(1)
+        i, j = np.nonzero(scores >= least[:, None] - 1e-12)
+        exact = (vectors[some[i]] * vectors[own[j]]).sum(1) / (norms[some[i]] * norms[own[j]])
+        order = np.lexsort((ids[own[j]], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        turn = np.arange(len(i)) - np.searchsorted(i, i)
+        found.append((i[turn < k] + at, j[turn < k], exact[turn < k]))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -142,9 +158,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             turns = np.flatnonzero(np.diff(at, prepend=-1)) if len(at) else np.zeros(0, np.int64)
             for x, y in zip(turns, [*turns[1:], len(at)]):
                 rows, own = asker[x:y], stored[first[at[x]] : first[at[x] + 1]]
-                scores = (vectors[rows] @ vectors[own].T) / (norms[rows][:, None] * norms[own])
-                i, j = best_of(scores, ids[own], k)
-                q_out.append(ids[rows[i]]), v_out.append(ids[own[j]]), s_out.append(scores[i, j])
+                i, j, score = best_of(vectors, norms, rows, own, ids, k)
+                q_out.append(ids[rows[i]]), v_out.append(ids[own[j]]), s_out.append(score)
             if not q_out:
                 continue
             q, v, s = map(np.concatenate, (q_out, v_out, s_out))
@@ -175,10 +190,10 @@ def _exact(spark, lacking: DataFrame, index: DataFrame, k: int) -> DataFrame:
                     own = batch.take(pa.array(np.flatnonzero(lengths == length)))
                     mine = [(q, v) for q, v in asked.value if len(v) == length]
                     if mine:
-                        vectors, ids, query = matrix(own.column("v")), own.column("id").to_numpy(), np.stack([v for _, v in mine])
-                        scores = query @ vectors.T / (np.linalg.norm(query, axis=1)[:, None] * np.linalg.norm(vectors, axis=1))
-                        i, j = best_of(scores, ids, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.array([q for q, _ in mine], np.int64)[i]), pa.array(ids[j]), pa.array(scores[i, j])], names=["query", "vec_id", "score"])
+                        both = np.concatenate([np.stack([v for _, v in mine]), matrix(own.column("v"))])
+                        ids = np.concatenate([np.array([q for q, _ in mine], np.int64), own.column("id").to_numpy()])
+                        i, j, score = best_of(both, np.linalg.norm(both, axis=1), np.arange(len(mine)), np.arange(len(mine), len(both)), ids, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[len(mine) + j]), pa.array(score)], names=["query", "vec_id", "score"])
 
         return written(_top(map_arrow(index, run, "query long, vec_id long, score double"), "query", k).select("query", "vec_id", "score"), "exact")
 
@@ -236,7 +251,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, name: str = "embed
     same = F.size("v") == dimension
     stored = map_arrow(index.where(same).select("id", "v"), spread(False), schema)
     asked = map_arrow(queries.where(same).select(F.col("query").alias("id"), "v"), spread(True), schema)
-    dealt = stored.union(asked).repartition("task").sortWithinPartitions("task")
+    # a task's stored rows beyond twice the usual are cut into blocks, each of which its queries visit
+    large = stored.groupBy("task").agg(F.count("*").alias("k")).where(F.col("k") > 2 * TASK_ROWS).select(F.col("task").alias("_task"), F.ceil(F.col("k") / TASK_ROWS).cast("int").alias("_blocks"))
+    large = F.broadcast(written(large, "large"))  # at most a row for each TASK_ROWS vectors and table
+    stored, asked = (x.join(large, F.col("task") == F.col("_task"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))) for x in (stored, asked))
+    stored = stored.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = stored.union(asked).withColumn("task", F.xxhash64("task", "_block")).drop("_task", "_blocks", "_block").repartition("task").sortWithinPartitions("task")
     found = map_arrow(dealt, lambda batches: _search(batches, k + 1), "query long, vec_id long, score double")
     best = written(_top(found.groupBy("query", "vec_id").agg(F.max("score").alias("score")), "query", k + 1).select("query", "vec_id", "score"), "best")
     enough = best.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, total))

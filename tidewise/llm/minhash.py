@@ -195,15 +195,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "rid", "comp")
 
 
+#: Shared shingles of every two documents, and reachability by links: all pairs by equality of shingles, for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+link AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+    JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * c >= 80 * (len(x.g) + len(y.g) - c)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, least(s.doc_id, coalesce(comp.b, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(comp.b, s.doc_id)) AS kept
+FROM s LEFT JOIN comp ON comp.a = s.doc_id
+"""
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents less all but one of each group of near-duplicates: the one of the smallest id stays.
 
     Where ids repeat, rows are numbered first, and of the rows with a group's smallest id one stays.
     """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("_row"), "component_id")
-    best = numbered.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("best"))
-    return numbered.join(best.select("best._row"), "_row", "left_semi").drop("_row")
+        gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone"))
+        return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
+    numbered = written(rows.withColumn("place", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col("place").alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("place"), "component_id")
+    best = numbered.select("place", "doc_id").join(found, "place").groupBy("component_id").agg(F.min(F.struct("doc_id", "place")).alias("best"))
+    return numbered.join(best.select("best.place"), "place", "left_semi").select("row.*")

@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_itq_near_vectors": itq.ORACLE, "op9_water_filling": mixing.ORACLE}
+    return {"op2_minmax_hash": minhash.ORACLE, "op4_itq_near_vectors": itq.ORACLE, "op9_water_filling": mixing.ORACLE}

@@ -10,7 +10,8 @@ the worst and some random windows of clean ones as clean, then Adam steps follow
 the log-odds of n-grams between the two classes.
 
 Defined results: null and empty texts, and texts without a letter, get the share of toxic rows in the sample (0.0 if that
-share isn't below 0.5, so they are never predicted toxic); without labels of both classes every document gets that share.
+share isn't below 0.5, so they are never predicted toxic); without labels of both classes every document gets that share. An
+id that is labelled both ways isn't learned from.
 """
 
 from __future__ import annotations
@@ -264,7 +265,8 @@ def score(net: Net, texts: list[str | None]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, docs_a_class: int = SAMPLE_DOCS, seed: int = 13) -> Net:
     """Fit on a bounded sample of labelled documents (``labels``: doc_id, toxic), as many of each class as the bound allows."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
+    known = known.where(F.col("toxic") == F.col("_most")).drop("_most")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
@@ -272,8 +274,9 @@ def train(docs: DataFrame, labels: DataFrame, docs_a_class: int = SAMPLE_DOCS, s
     place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     wanted = F.coalesce(*(F.when(F.col("toxic") == k, F.lit(min(1.0, 1.5 * docs_a_class / n))) for k, n in counts.items()))
     # at most a few thousand ids, by the share just computed and the limit
-    ids = known.withColumn("place", place).where(F.col("place") < wanted).dropDuplicates(["doc_id"]).limit(8 * docs_a_class)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("toxic", "text", "place").collect()
+    ids = known.withColumn("place", place).where(F.col("place") < wanted).limit(8 * docs_a_class)
+    # of an id on several rows the smallest text stands for it
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text")).collect()
     chosen: dict[int, list[str]] = {0: [], 1: []}
     for row in sorted(rows, key=lambda r: (r["place"], r["text"])):
         if len(chosen[row["toxic"]]) < docs_a_class and (clean := letters_only(row["text"])):

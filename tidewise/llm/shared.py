@@ -46,12 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that nothing will read again."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._tidewise_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._tidewise_path)
 
 
 @contextmanager

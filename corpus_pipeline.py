@@ -2,6 +2,11 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again; all but the last return the columns of
 ``documents``. ``run`` applies them to a whole table.
+
+Defined results: documents of null or empty text, or without a letter, go in the first stage; null ids, languages and sources are values like
+others; rows that repeat id and text lose no line to each other but are near-duplicates, of which one stays; extra columns are kept, whatever
+their names, until the last stage; an empty table gives an empty result of the last stage's columns. The stages' tables are in the shared folder
+until the last stage is read; those of the others are deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewise.llm import bpe, langid, lines, minhash, mixing
-from tidewise.llm.shared import shared_dir, table
+from tidewise.llm.shared import delete, shared_dir, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +62,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        after = stage(spark, docs, sf_dir)
+        after.write.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
+        docs = spark.read.schema(after.schema).parquet(f"{folder}/{k}")
     return docs
 
 

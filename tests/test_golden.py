@@ -306,3 +306,87 @@ def test_whole_sequences_do_not_depend_on_partitions(spark, partitions):
         assert r["acc"] == total
     assert [r["place"] for r in s.numbered().df.orderBy("ord").collect()] == list(range(500))
     assert "SinglePartition, ENSURE" not in s.numbered().df._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+# null keys, repeated rows, one busy key
+
+
+def keyed(spark, *rows, kinds="ts long, k string, value int"):
+    return Seq(spark.createDataFrame(list(rows), kinds), "ts", "k")
+
+
+def test_null_keys_are_a_sequence_like_others(spark):
+    a = keyed(spark, (1, None, 10), (2, "x", 11), (3, None, 12))
+    b = keyed(spark, (4, None, 20), (5, "x", 21), (6, None, 22))
+    assert sorted((str(r["k"]), r["value"], r["value_2"]) for r in a.zip_with(b).df.collect()) == [("None", 10, 20), ("None", 12, 22), ("x", 11, 21)]
+    assert sorted(values(a.amb_with(b.df, time="ts").df)) == [10, 11, 12]
+    ticks = spark.createDataFrame([(None, 2), (None, 4), ("x", 9)], "k string, at long")
+    assert sorted(values(a.sample(ticks, "ts", "at").df)) == [10, 11, 12]
+    assert sorted(values(a.on_error_resume(V == 12, b.df).df)) == [10, 11, 20, 22]
+    assert sorted(values(a.timeout_fallback("ts", 1, b.df).df)) == [10, 11, 20, 22]
+    assert sorted(values(a.take_until_other(ticks, "ts", "at").df)) == [10, 11]
+    found = {(r["k"], r["window_id"]): r["buffer"] for r in a.windows_boundary(ticks, "ts", "at", V).collect()}
+    assert found == {(None, 0): [10], (None, 1): [12], (None, 2): [], ("x", 0): [11], ("x", 1): []}
+    inner = spark.createDataFrame([(None, 1), (None, 5), ("x", 5)], "k string, it long")
+    assert sorted((str(r["k"]), r["value"], r["it"]) for r in a.switch_map(inner, "ts", "it").df.collect()) == [("None", 10, 1), ("None", 12, 5), ("x", 11, 5)]
+
+
+@pytest.mark.parametrize("key", ["k", ()])
+def test_group_join_keeps_repeated_rows(spark, key):
+    left = spark.createDataFrame([("a", 1, 5), ("a", 1, 5), (None, 50, 60)], "k string, s long, e long")
+    right = spark.createDataFrame([("a", 4, 9, 9), ("a", 30, 31, 8)], "k string, rs long, re long, v int")
+    found = Seq(left, "s", key).group_join(right if key else right.drop("k"), ("s", "e"), ("rs", "re"), F.col("v"), ["v"])
+    assert sorted((r["s"], r["matches"]) for r in found.collect()) == [(1, [9]), (1, [9]), (50, [])]
+
+
+def test_overlaps_of_one_busy_key_are_joined_by_cells(spark):
+    rows = spark.range(4000).select(F.lit("a").alias("k"), F.col("id").alias("s"), (F.col("id") + 1).alias("e"))
+    other = rows.withColumnsRenamed({"s": "rs", "e": "re"})
+    found = Seq(rows, "s", "k").join_overlapping(other, ("s", "e"), ("rs", "re"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 4000 and any("Join" in x and "_cell#" in x.split("]")[0] for x in plan.splitlines())
+
+
+def test_left_overlap_join_has_each_lonely_row_once(spark):
+    left = spark.createDataFrame([(0, 100), (200, 201), (None, 5), (0, 100)], "s long, e long")
+    right = spark.createDataFrame([(5, 6), (7, 8)], "rs long, re long")
+    found = Seq(left, "s").join_overlapping(right, ("s", "e"), ("rs", "re"), how="left", grain=10)
+    assert sorted((r["s"] if r["s"] is not None else -1, r["rs"] if r["rs"] is not None else -1) for r in found.collect()) == [(-1, -1), (0, 5), (0, 5), (0, 7), (0, 7), (200, -1)]
+
+
+def test_numbering_with_one_first_value_for_all(spark):
+    rows = spark.range(3000).select(F.lit(7).alias("a"), F.col("id").alias("b"))
+    found = Seq(rows, ("a", "b")).numbered("n").df
+    assert found.where("n <> b").count() == 0
+
+
+def test_error_modes_and_limits_in_time(spark):
+    s = sources.from_array(spark, 1, 2, 3, 4)
+    two = F.array(V, V * 10)
+    assert values(s.concat_map(two, "x", error=V == 3), "x") == [1, 10, 2, 20]
+    assert values(s.concat_map(two, "x", error=V == 3, mode="end"), "x") == [1, 10, 2, 20, 4, 40]
+    with pytest.raises(ValueError, match="error mode"):
+        s.concat_map(two, mode="never")
+    assert s.errors(V > 2).first()["errors"] == 2
+    assert values(s.concat_with(s.df, error=V == 3)) == [1, 2] and values(s.concat_with(s.df, error=V == 3, delay_error=True)) == [1, 2, 1, 2]
+    assert s.blocking_first(timeout=300)["value"] == 1
+    slow = F.udf(lambda x: __import__("time").sleep(30) or x, "int")
+    with pytest.raises(TimeoutError):
+        s.map(value=slow(V)).blocking_last(timeout=0.5)
+    s.test().assert_values("value", 1, 2, 3, 4).assert_count(4).assert_complete()
+    with pytest.raises(AssertionError):
+        s.test().assert_count(5)
+    sources.error(spark, "bad").test().assert_error("bad")
+
+
+def test_generate_without_limit_and_using_in_both_orders(spark):
+    told = []
+    made = sources.generate(spark, 1, lambda x: (x, x * 2) if x < 100 else None, consume=told.append)
+    assert values(made) == [1, 2, 4, 8, 16, 32, 64] and told == [128]
+    with pytest.raises(ValueError, match="more than 3"):
+        sources.generate(spark, 1, lambda x: (x, x), most=3)
+    for eager, expected in ((True, ["gone", "done"]), (False, ["done", "gone"])):
+        told = []
+        with sources.using(lambda: 1, lambda x: sources.just(spark, x), lambda _: told.append("gone"), eager, lambda: told.append("done")) as seq_:
+            assert values(seq_) == [1]
+        assert told == expected

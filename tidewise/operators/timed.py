@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.order import keyed_join, neighbour, numbered, running
+from ..plans.order import keyed_join, neighbour, numbered, running, stepped
 from .windows import ID
 
 
@@ -19,13 +19,25 @@ class Timed:
     throttle_last = sample
 
     def throttle_first(self, time: str, period: Column | int):
-        """A row, then none until its period is over; the first row at or after that is next. A fold over each key's rows."""
-        period = F.lit(period) if isinstance(period, int) else period
-        item = F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(self.order)), F.col(time).alias("t"), (F.col(time) + period).alias("until"), F.struct(*self.df.columns).alias("row"))
-        gathered = self.df.groupBy(*self.key).agg(F.sort_array(F.collect_list(item)).alias("_all"))
-        kind = gathered.schema["_all"].dataType
-        kept = F.aggregate("_all", F.array().cast(kind), lambda out, x: F.when((F.size(out) == 0) | (x["t"] >= F.element_at(out, -1)["until"]), F.concat(out, F.array(x))).otherwise(out))
-        return self.with_df(gathered.select(F.explode(kept).alias("_x")).select("_x.row.*"))
+        """A row, then none until its period is over; the first row at or after that is next. Constant state, whatever a key's length."""
+
+        def start():
+            due = 0
+
+            def step(begins: list, times: list, ends: list) -> list:
+                nonlocal due
+                out = []
+                for begin, at, end in zip(begins, times, ends):
+                    open_ = begin or at >= due
+                    if open_:
+                        due = end
+                    out.append(open_)
+                return out
+
+            return step
+
+        found = stepped(self.df, self.order, self.key, {"t": F.col(time), "until": F.col(time) + period}, start, "_open", "boolean")
+        return self.with_df(found.where("_open").drop("_open"))
 
     def throttle_timeout(self, time: str, period: Column | int):
         """Rows after which none comes until their period is over; the last row always."""

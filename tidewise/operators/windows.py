@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered_values
-from ..plans.order import keyed_join, numbered, overlapping, running
+from ..plans.order import keyed_join, numbered, overlapping, running, stepped
 
 ID = "window_id"
 
@@ -142,23 +142,34 @@ class Windows:
         """Windows closed by size or by a period that begins anew when the window before closes.
 
         opened: when the first window opens (the key's first time by default). A period that ends on an empty window begins
-        again. A fold over each key's values in order.
+        again. Constant state, whatever a key's length.
         """
-        values = F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(self.order)), F.col(time).cast("long").alias("t"), F.struct(*self.df.columns).alias("row"))))
-        anchor = F.min(F.col(time)).cast("long") if opened is None else F.min(opened).cast("long")
-        gathered = self.df.groupBy(*self.key).agg(values.alias("_all"), anchor.alias("_opened"))
-        state = F.struct(F.col("_opened").alias("o"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("w"), F.array().cast("array<bigint>").alias("ids"))
-
-        def step(z: Column, x: Column) -> Column:
-            late = x["t"] >= z["o"] + period
-            n = F.when(late, F.lit(0)).otherwise(z["n"]) + 1
-            w = F.when(n == 1, z["w"] + 1).otherwise(z["w"])
-            o = F.when(n == size, x["t"]).when(late, z["o"] + F.floor((x["t"] - z["o"]) / period) * period).otherwise(z["o"])
-            return F.struct(o.cast("long").alias("o"), F.when(n == size, F.lit(0)).otherwise(n).cast("long").alias("n"), w.cast("long").alias("w"), F.concat(z["ids"], F.array(w)).alias("ids"))
-
-        folded = gathered.withColumn("_ids", F.aggregate("_all", state, step, lambda z: z["ids"]))
-        rows = folded.select(F.explode(F.arrays_zip(F.col("_all").alias("x"), F.col("_ids").alias("w"))).alias("_z"))
-        return self.with_df(rows.select("_z.x.row.*", F.col("_z.w").alias(ID)), key=(*self.key, ID))
+
+        def start():
+            at_open, n, window = 0, 0, -1
+
+            def step(begins: list, times: list, firsts: list) -> list:
+                nonlocal at_open, n, window
+                out = []
+                for begin, at, first in zip(begins, times, firsts):
+                    if begin:
+                        at_open, n, window = first, 0, -1
+                    late = at >= at_open + period
+                    n = 1 if late else n + 1
+                    if n == 1:
+                        window += 1
+                    if n == size:
+                        at_open, n = at, 0
+                    elif late:
+                        at_open += (at - at_open) // period * period
+                    out.append(window)
+                return out
+
+            return step
+
+        anchor = F.min(F.col(time) if opened is None else opened).over(Window.partitionBy(*self.key))
+        found = stepped(self.df.withColumn("_opened", anchor), self.order, self.key, {"t": F.col(time), "o": F.col("_opened")}, start, ID)
+        return self.with_df(found.drop("_opened"), key=(*self.key, ID))
 
 
 def summarised(windows, **columns: Column) -> DataFrame:

@@ -1,19 +1,21 @@
 """Order-sensitive lowering that never gathers a whole sequence in one partition.
 
-With a key, Spark windows do the work. Without one, the sequence is cut into ranges of its first order column at
-boundaries from a bounded sample; each range is handled by a window of its own, and what earlier ranges contribute comes
-from a table of one row a range, which is small whatever the sequence's length.
+With a key, Spark windows do the work. Without one, the sequence is cut into ranges of its order at boundaries from a
+bounded sample; each range is handled by a window of its own, and what earlier ranges contribute comes from a table of one
+row a range. There are as many ranges as the session deals shuffles into (and RANGES at least), so they follow the input as that setting does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a sequence without key, and sampled values per range from which their boundaries come.
-RANGES, SAMPLED = 32, 40
+#: Fewest and most ranges of a sequence without key, and sampled rows per range from which their boundaries come.
+RANGES, MOST_RANGES, SAMPLED = 32, 4096, 20
 
 #: Running aggregates: how to aggregate, and how to join what went before with what is in the range.
 KINDS = {
@@ -25,15 +27,32 @@ KINDS = {
 }
 
 
-def range_of(df: DataFrame, order: str) -> Column:
-    """The number of the range that a row's first order value falls into; nulls fall into the first."""
-    rows = df.select(F.col(order).alias("v")).where("v is not null").withColumn("r", F.xxhash64("v")).orderBy("r").limit(RANGES * SAMPLED).collect()
-    values = sorted({r["v"] for r in rows})
-    boundaries = values[:: max(1, len(values) // RANGES)][1:]
-    if not boundaries:
-        return F.lit(0)
-    reached = F.filter(F.array(*(F.lit(b) for b in boundaries)), lambda b: b <= F.col(order))
-    return F.coalesce(F.size(reached), F.lit(0))
+def range_of(df: DataFrame, order: Sequence[str]) -> Column:
+    """The number of the range that a row falls into; a null first value falls into the first.
+
+    Ranges end at sampled values of the first order column, or of all of them where one first value fills several ranges.
+    """
+    ranges = min(MOST_RANGES, max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    place = F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)))
+    found = df.where(F.col(order[0]).isNotNull()).select(place.alias("p"), F.xxhash64(*order).alias("r")).orderBy("r").limit(ranges * SAMPLED)
+    # at most ranges * SAMPLED rows
+    rows = [r["p"] for r in found.orderBy("p").collect()]
+    cuts = rows[:: max(1, -(-len(rows) // ranges))][1:]
+    if len({c[0] for c in cuts}) == len(cuts):
+        at, ends = F.col(order[0]), [F.lit(c[0]) for c in cuts]
+    else:
+        kinds = dict(df.dtypes)
+        cuts = [c for k, c in enumerate(cuts) if k == 0 or c != cuts[k - 1]]
+        at, ends = place, [F.struct(*(F.lit(v).cast(kinds[n]).alias(f"o{k}") for k, (n, v) in enumerate(zip(order, c)))) for c in cuts]
+
+    def halved(low: int, high: int) -> Column:
+        """The number of the ends from low to high that the row has reached, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(at >= ends[middle], halved(middle + 1, high)).otherwise(halved(low, middle))
+
+    return F.when(F.col(order[0]).isNull(), 0).otherwise(halved(0, len(ends)))
 
 
 def ordering(order: Sequence[str], reverse: bool = False) -> list[Column]:
@@ -50,7 +69,7 @@ def running(df: DataFrame, order: Sequence[str], key: Sequence[str], items: Mapp
     if key:
         over = Window.partitionBy(*key).orderBy(*ordering(order, reverse)).rowsBetween(*frame)
         return df.withColumns({name: local(kind, value).over(over) for name, (kind, value) in items.items()})
-    df = df.withColumn("_range", range_of(df, order[0]))
+    df = df.withColumn("_range", range_of(df, order))
     over = Window.partitionBy("_range").orderBy(*ordering(order, reverse)).rowsBetween(*frame)
     place = F.struct(*order)
 
@@ -99,6 +118,29 @@ def same_key(keys: Sequence[str], prefix: str) -> Column:
     return on
 
 
+def stepped(df: DataFrame, order: Sequence[str], key: Sequence[str], inputs: Mapping[str, Column], start: Callable[[], Callable], name: str, kind: str = "long") -> DataFrame:
+    """Add a column that a Python function works out row by row in order, with constant state: no key's rows are gathered.
+
+    inputs: numbers (null: the smallest long). start() makes the function, which is told for a stretch of rows which of them begin a
+    key, and a list for each input, and gives a list of values; it keeps its state between calls. One task handles a key, as the order demands.
+    """
+    own = Window.partitionBy(*key).orderBy(*ordering(order)) if key else Window.orderBy(*ordering(order))
+    least = F.lit(-(1 << 63)).cast("long")
+    given = {f"_in{k}": F.coalesce(value.cast("long"), least) for k, value in enumerate(inputs.values())}
+    marked = df.withColumns(given | {"_begins": F.row_number().over(own) == 1})
+    kept, told_names = [f for f in df.schema if f.name != name], ["_begins", *given]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for batch in batches:
+            told = [batch.column(c).to_pylist() for c in told_names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.array(step(*told), bool if kind == "boolean" else np.int64))], names=[*names, name])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` {kind}"])
+    return marked.mapInArrow(run, schema)
+
+
 def tagged(parts: Mapping[str, DataFrame], shared: Sequence[str], tag: str = "_source") -> DataFrame:
     """One table of several sequences: the shared columns, a tag, and each part's columns in a struct named after it."""
     out = None

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .shared import map_arrow, pieces
 
 #: Entries a worker remembers before it starts afresh; about 0.25 kB each.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Leaves merged in step at once.
-LEAVES = 1 << 20
+LEAVES = 1 << 18
 NONE = np.int64(1) << 62
 
 
@@ -159,7 +159,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_copy(lines.value, pattern)
-        for part in pieces(batches):
+        for part in pieces(batches, most=1 << 20):
             texts = [x or "" for x in part.column("text").to_pylist()]
             counts, all_ids, digest, decoded = [], [], [], []
             for ids in bpe.encode_many(texts):

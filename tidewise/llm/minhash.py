@@ -83,7 +83,7 @@ def signatures(sets: list[np.ndarray], seed: int = 11) -> tuple[np.ndarray, np.n
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """rid, doc_id, digest (null for an empty set), n_shingles, bands, s0.. of every document."""
+    """rid, doc_id, text_hash, digest (null for an empty set), n_shingles, bands, s0.. of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, most=PASS_BYTES):
@@ -95,17 +95,17 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
-                [part.column("rid"), part.column("doc_id"), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(bands).ravel())), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH_WORDS))],
-                names=["rid", "doc_id", "digest", "n_shingles", "bands", *(f"s{k}" for k in range(SKETCH_WORDS))],
+                [part.column("rid"), part.column("doc_id"), part.column("text_hash"), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(bands).ravel())), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH_WORDS))],
+                names=["rid", "doc_id", "text_hash", "digest", "n_shingles", "bands", *(f"s{k}" for k in range(SKETCH_WORDS))],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sketches = ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))
-    return map_arrow(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), run, f"rid long, doc_id {id_type}, digest binary, n_shingles long, bands array<long>, {sketches}")
+    return map_arrow(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"rid long, doc_id {id_type}, text_hash long, digest binary, n_shingles long, bands array<long>, {sketches}")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, hashes of the wanted (node, doc_id, digest)."""
+    """node, hashes of the wanted (node, doc_id, text_hash, digest); rows of one id meet by their texts, so that a repeated id is no product."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, most=PASS_BYTES):
@@ -116,7 +116,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(same, pa.int64())), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat.view(np.int64)))], names=["node", "hashes"])
 
     once = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    found = docs.select("doc_id", "text").join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    found = rows.join(wanted.withColumnsRenamed({"doc_id": "wanted_id", "text_hash": "wanted_hash"}), F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash")))
     sets = map_arrow(found.select("node", "digest", "text"), run, "node long, hashes array<long>")
     return sets if once else sets.dropDuplicates(["node"])
 
@@ -171,7 +172,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differing <= int(SKETCH_WORDS * SKETCH_BITS * (1 - LEAST_AGREEING)))
 
     def prepare(nodes: DataFrame) -> None:
-        wanted = nodes.join(signed.select(F.col("rid").alias("node"), "doc_id", "digest"), "node")
+        wanted = nodes.join(signed.select(F.col("rid").alias("node"), "doc_id", "text_hash", "digest"), "node")
         sets.append(written(_full_sets(docs, wanted, size), "sets"))
 
     def verify(pairs: DataFrame) -> DataFrame:

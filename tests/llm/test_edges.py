@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -215,6 +216,44 @@ def test_hot_values_and_crowded_buckets_of_lines(spark):
     assert got == {k: int(0 < k < 3000) for k in range(3300)}
 
 
+def crowded_task(seed, many):
+    """Copies of one line that differ by two edited stretches: the first is that of one of three versions, the second their own."""
+    rng = np.random.default_rng(seed)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    base = rng.choice(letters, 200)
+    versions = [base.copy() for _ in range(3)]
+    for version in versions:
+        version[20:26] = rng.choice(letters, 6)
+    out = []
+    for k in range(many):
+        line = versions[k % 3].copy()
+        at = int(rng.integers(30, 180))
+        line[at : at + 8] = rng.choice(letters, 8)
+        out.append("".join(line))
+    return out
+
+
+def linked(texts):
+    """The smallest number that each text reaches by pairs of an edit similarity of 0.9 or more."""
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 10 * distance(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j]))]
+    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+    return graph.local_components(len(texts), i, j)
+
+
+def test_crowded_buckets_of_lines_miss_no_pair():
+    """In a crowded bucket pairs that share nothing but the bucket's common text are compared too."""
+    texts = crowded_task(1, 40)
+    features = lines.wide_simhash(lines.Lines(texts))
+    batch = pa.RecordBatch.from_pydict(
+        {"task": [1] * 40, "across": [False] * 40, "block": [0] * 40, "node": list(range(40)), "comp": list(range(40)), "size": np.array([len(t) for t in texts], np.int32), "line": texts}
+        | {b: features[:, k] for k, b in enumerate(lines.BITS)}
+    )
+    (got,) = lines._linked_within(iter([batch]), 90)
+    label = graph.local_components(40, got.column("a").to_numpy(), got.column("b").to_numpy())
+    want = linked(texts)
+    assert (want == 0).sum() > 20 and label.tolist() == want.tolist()
+
+
 def test_lines_beside_columns_of_any_name(spark, odd):
     docs = odd.select("*", *(F.lit(1).alias(c) for c in ("_id", "_gone", "row", "gone", "own", "key", "node", "text_hash")))
     kept = lines.dedup_lines(docs)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .edits import alike
+from .edits import alike, allowed
 from .graph import blocks, link_buckets, local_components
 from .shared import drop_written, map_arrow, pieces, written
 from .vectors import whole_groups
@@ -60,8 +60,8 @@ WORDS, FAR, FAR_LONG, LONG, WIDE_GRAMS, WIDE_SAMPLED = 4, 92, 110, 200, (5, 8),
 HOT, SMALL, LARGE = 16, 48, 2000
 #: Records after which a task hands on what it has.
 RECORDS = 1 << 17
-#: Lines in a block of a crowded bucket; a gram is common there from one line in COMMON on.
-BLOCK, COMMON = 400, 4
+#: Lines in a block of a crowded bucket, and characters of the grams whose shared number bounds the edits there.
+BLOCK, COUNTED = 400, (1, 2)
 #: Rows up to which a table is broadcast; larger ones are joined by shuffles.
 SMALL_TABLE = 2_000_000
 
@@ -475,46 +475,69 @@ def _alike_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
         yield batch.select(["a", "b"]).filter(same)
 
 
-def _share_rare(lines: list[str], gram: int) -> np.ndarray:
-    """(lines, lines): whether two lines share a gram that at most a COMMON-th of all lines here have."""
+def _shared_grams(lines: list[str], gram: int) -> np.ndarray:
+    """(lines, lines): how many grams two lines share at least as many times as counted; never fewer than they do."""
     found = Lines(lines)
     many = np.maximum(found.size - gram + 1, 0)
     owner = np.repeat(np.arange(len(lines)), many)
     raw = next(gram_hashes(found.points, [gram]))[np.repeat(found.start - np.cumsum(many) + many, many) + np.arange(many.sum())]
-    pair = np.unique(raw.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
-    _, column, times = np.unique(pair >> np.uint64(32), return_inverse=True, return_counts=True)
-    rare = (times[column] > 1) & (times[column] * COMMON <= len(lines))
-    row, column = (pair[rare] & np.uint64(0xFFFFFFFF)).astype(np.int64), np.unique(column[rare], return_inverse=True)[1]
-    out = np.zeros((len(lines), len(lines)), bool)
-    for first in range(0, int(column.max(initial=-1)) + 1, 4096):
-        at, to = np.searchsorted(column, [first, first + 4096])
-        ones = np.zeros((len(lines), 4096), np.float32)
-        ones[row[at:to], column[at:to] - first] = 1
-        out |= ones @ ones.T > 0
+    pair = np.sort(raw.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
+    # a gram's first, second, ... occurrence in a line are columns of their own, so that products of rows count repeats
+    first = np.flatnonzero(np.diff(pair, prepend=~pair[:1]))
+    times = np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))
+    order = np.lexsort((times, pair >> np.uint64(32)))
+    pair, times = pair[order], times[order]
+    hashed = pair >> np.uint64(32)
+    column = np.cumsum(np.append(False, (hashed[1:] != hashed[:-1]) | (times[1:] != times[:-1]))[: len(pair)])
+    lines_of = np.bincount(column)
+    out = np.full((len(lines), len(lines)), np.count_nonzero(lines_of == len(lines)), np.float32)
+    some = ((lines_of > 1) & (lines_of < len(lines)))[column]
+    row, column = (pair[some] & np.uint64(0xFFFFFFFF)).astype(np.int64), column[some]
+    column = np.cumsum(np.append(False, column[1:] != column[:-1])[: len(column)])
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        at, to = np.searchsorted(column, [low, low + 4096])
+        ones = np.zeros((len(lines), min(4096, int(column[-1]) + 1 - low)), np.float32)
+        ones[row[at:to], column[at:to] - low] = 1
+        out += ones @ ones.T
+    return out
+
+
+def _left_open(lines: list[str], pairs: np.ndarray, least: int) -> np.ndarray:
+    """Of the ``pairs`` (lines, lines) those that may be alike, by bounds that every alike pair keeps.
+
+    An edit takes at most g of the longer line's grams of g characters, so alike lines share all others.
+    """
+    own = np.flatnonzero(pairs.any(0) | pairs.any(1))
+    size = np.fromiter((len(lines[k]) for k in own), np.int64, len(own))
+    longer = np.maximum(size[:, None], size)
+    edits = allowed(longer, least)
+    left = pairs[np.ix_(own, own)] & (longer - np.minimum(size[:, None], size) <= edits)
+    for gram in COUNTED:
+        if left.any():
+            left &= _shared_grams([lines[k] for k in own], gram) >= longer - gram + 1 - gram * edits
+    out = np.zeros(pairs.shape, bool)
+    out[np.ix_(own, own)] = left
     return out
 
 
 def _linked_within(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """For each task the links that connect what is alike in it.
 
-    Pairs that are connected already aren't compared, and in a large group only pairs that share more than the group's common text: copies
-    of one line that were edited apart are as far from each other as both edits together, which is why they are still open.
+    Every pair is compared but those that are connected already and those that a bound on the edits rules out.
     """
     for batch, starts in whole_groups(batches, "task"):
-        nodes, comp, block, across, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "block", "across", "size"))
+        nodes, comp, block, across = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "block", "across"))
         bits = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in BITS], axis=1)
         for a, b in zip(starts.tolist(), starts[1:].tolist()):
             lines = batch.column("line").slice(a, b - a).to_pylist()
-            open_ = np.triu(near_enough(size[a:b, None], size[None, a:b], bits[a:b, None], bits[None, a:b], least), 1)
+            open_ = np.triu(np.ones((b - a, b - a), bool), 1)
             if across[a]:
                 open_ &= block[a:b, None] != block[None, a:b]
             # what is in one component already has one label, and isn't compared again
             _, before, label = np.unique(comp[a:b], return_index=True, return_inverse=True)
             label, found_i, found_j = before[label], [np.arange(b - a)], [before[label]]
             open_ &= label[:, None] != label[None, :]
-            if b - a >= COMMON * COMMON:
-                open_ &= _share_rare(lines, GRAMS[-1][1])
-            i, j = np.nonzero(open_)
+            i, j = np.nonzero(_left_open(lines, open_, least))
             # the nearest first, so that groups join early
             order = np.argsort(np.bitwise_count(bits[a + i] ^ bits[a + j]).sum(1), kind="stable")
             i, j = i[order], j[order]

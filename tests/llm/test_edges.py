@@ -254,6 +254,22 @@ def test_crowded_buckets_of_lines_miss_no_pair():
     assert (want == 0).sum() > 20 and label.tolist() == want.tolist()
 
 
+def test_blocks_of_crowded_buckets_of_lines_miss_no_pair_across():
+    """The pipeline's line dedup too: where two blocks of a bucket meet, every pair across them is compared."""
+    texts = crowded_task(2, 40)
+    features = lines.wide_simhash(lines.Lines(texts))
+    block = np.arange(40) % 2
+    batch = pa.RecordBatch.from_pydict(
+        {"task": [1] * 40, "across": [True] * 40, "block": block, "node": list(range(40)), "comp": list(range(40)), "size": np.array([len(t) for t in texts], np.int32), "line": texts}
+        | {b: features[:, k] for k, b in enumerate(lines.BITS)}
+    )
+    (got,) = lines._linked_within(iter([batch]), 90)
+    label = graph.local_components(40, got.column("a").to_numpy(), got.column("b").to_numpy())
+    pairs = [(i, j) for j in range(40) for i in range(j) if block[i] != block[j] and 10 * distance(texts[i], texts[j]) <= max(len(texts[i]), len(texts[j]))]
+    i, j = np.array(pairs).T
+    assert len(pairs) > 50 and label.tolist() == graph.local_components(40, i, j).tolist()
+
+
 def test_lines_beside_columns_of_any_name(spark, odd):
     docs = odd.select("*", *(F.lit(1).alias(c) for c in ("_id", "_gone", "row", "gone", "own", "key", "node", "text_hash")))
     kept = lines.dedup_lines(docs)

@@ -270,6 +270,33 @@ def test_blocks_of_crowded_buckets_of_lines_miss_no_pair_across():
     assert len(pairs) > 50 and label.tolist() == graph.local_components(40, i, j).tolist()
 
 
+def table_values(texts):
+    """The values of each text, of 20 to 99 characters, in the tables of the line operator."""
+    found = lines.Lines(texts)
+    raw = next(lines.gram_hashes(found.points, [lines.GRAMS[0][1]]))
+    hashed, first, _ = lines.grams(raw, found.start, found.size, lines.GRAMS[0][1], lines.SAMPLED)
+    return [set(own) for own in lines.table_keys(lines.steep_blocks(hashed, first), np.zeros(len(texts), np.uint64)).T.tolist()]
+
+
+def test_lines_that_share_a_table_miss_no_pair(spark):
+    """Whatever their SimHashes: lines that a table brings together are removed if they are alike by edit similarity."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = []
+    for _ in range(4000):
+        line = rng.choice(letters, 60)
+        # a stretch that repeats has few grams, so that edits elsewhere weigh much in a SimHash
+        line[:40] = np.tile(line[:10], 4)
+        edited = line.copy()
+        edited[rng.choice(np.arange(40, 60), 6, replace=False)] = rng.choice(letters, 6)
+        texts += ["".join(line), "".join(edited)]
+    values = table_values(texts)
+    want = {k: int(k % 2 and bool(values[k] & values[k - 1])) for k in range(len(texts))}
+    assert all(10 * distance(texts[k - 1], texts[k]) <= 60 for k in want if want[k]) and sum(want.values()) > 500
+    got = {r["doc_id"]: r["n_removed"] for r in lines.without_repeated_lines(table(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect()}
+    assert got == want
+
+
 def test_lines_beside_columns_of_any_name(spark, odd):
     docs = odd.select("*", *(F.lit(1).alias(c) for c in ("_id", "_gone", "row", "gone", "own", "key", "node", "text_hash")))
     kept = lines.dedup_lines(docs)

@@ -11,8 +11,8 @@ the grams by an order of its own in which the first outweighs all others, so its
 min-wise hashing), and an edit changes few blocks as a whole instead of a few bits of each. Sixteen blocks stand in a
 square of four by four, and the tables are the twenty lines of the affine plane over it: five ways to cut the blocks into four groups of four.
 Lines that differ in three blocks or fewer share a table in each of the five ways (pigeonhole), and most that differ in more
-still share one. Plain SimHashes decide what is worth a comparison: 24 bits beside the length travel in the tables, and 256 bits of
-the lines that are left must differ in at most FAR (long lines by longer grams).
+still share one. Lines that share a table are compared if their lengths allow it: no estimate rules a pair out that the tables
+brought together. Plain SimHashes of 256 bits only tell which pairs of a crowded bucket come first.
 
 Long lines are hashed by a sample of about SAMPLED grams, those whose hash is below a share that falls with the line's length
 (a line's own content decides, so similar lines choose alike); the edit similarity is always that of whole lines.
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +51,10 @@ LEAST = 90
 GRAMS = ((0, 5), (100, 6), (250, 7))
 #: Grams that a line is hashed by, and blocks of the hash (half by the smallest, half by the largest of an order).
 SAMPLED, BLOCKS = 64, 16
-#: Of the 24 bits of two plain SimHashes at most so many differ; lengths are kept as LENGTHS steps for each factor of e.
-APART, LENGTHS = 10, 30
-#: Wide SimHashes of WORDS * 64 bits, of which FAR may differ, by grams of WIDE_GRAMS[0] characters; from LONG characters of the longer line on by
-#: grams of WIDE_GRAMS[1], of which FAR_LONG may differ.
-WORDS, FAR, FAR_LONG, LONG, WIDE_GRAMS, WIDE_SAMPLED = 4, 92, 110, 200, (5, 8), 128
-#: Of a task's classes, how many share a value that isn't gathered; members of a bucket up to which each looks for a partner in it, at first and by all bits.
-HOT, SMALL, LARGE = 16, 48, 2000
+#: Plain SimHashes have WORDS * 64 bits, by grams of WIDE_GRAMS[0] characters; those of lines from LONG characters on by grams of WIDE_GRAMS[1].
+WORDS, LONG, WIDE_GRAMS, WIDE_SAMPLED = 4, 200, (5, 8), 128
+#: Of a task's classes, how many share a value that isn't gathered; members of a bucket up to which those without a partner are left out first.
+HOT, LARGE = 16, 2000
 #: Records after which a task hands on what it has.
 RECORDS = 1 << 17
 #: Lines in a block of a crowded bucket, and characters of the grams whose shared number bounds the edits there.
@@ -65,10 +62,13 @@ BLOCK, COUNTED = 400, (1, 2)
 #: Rows up to which a table is broadcast; larger ones are joined by shuffles.
 SMALL_TABLE = 2_000_000
 
-FULL = np.dtype([("name", "<u8"), ("rest", "<u8"), ("way", "<u4"), ("sketch", "<u4"), ("blocks", "<u2", BLOCKS)])
+FULL = np.dtype([("name", "<u8"), ("rest", "<u8"), ("way", "<u4"), ("size", "<u4"), ("blocks", "<u2", BLOCKS)])
+#: Names of the words of both SimHashes.
 BITS = [f"h{k}" for k in range(2 * WORDS)]
-SHORT = np.dtype([("name", "<u8"), ("rest", "<u8"), ("way", "<u4"), ("sketch", "<u4"), ("size", "<u4"), ("points", "<u4", 24)])
-ENTRY = np.dtype([("key", "<u4"), ("sketch", "<u4"), ("name", "<u8")])
+SHORT = np.dtype([("name", "<u8"), ("rest", "<u8"), ("way", "<u4"), ("size", "<u4"), ("points", "<u4", 24)])
+ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("name", "<u8")])
+#: The size in the mark of a hot value.
+MARK = 0xFFFFFFFF
 _digit, _word = re.compile(r"\d").match, re.compile(r"\w").match
 
 
@@ -208,19 +208,13 @@ def steep_blocks(hashed: np.ndarray, first: np.ndarray, seed: int = 5) -> np.nda
     return (out >> np.uint32(16)).astype(np.uint16).T
 
 
-def length_code(size: np.ndarray) -> np.ndarray:
-    return (np.log(np.maximum(size, 1)) * LENGTHS).astype(np.int64).astype(np.uint8)
-
-
-def sketches(size: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return length_code(size).astype(np.uint32) << np.uint32(24) | bits
-
-
-def may_match(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    """Whether sketches leave it open that two lines are alike: lengths in proportion, and SimHashes near."""
-    lengths = (a >> np.uint32(24)).astype(np.uint8) - (b >> np.uint32(24)).astype(np.uint8)
-    most = np.uint8(int(LENGTHS * np.log(100 / least)) + 1)
-    return (np.minimum(lengths, np.uint8(0) - lengths) <= most) & (np.bitwise_count((a ^ b) & np.uint32(0xFFFFFF)) <= APART)
+def with_partner(group: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+    """Which rows, sorted by group and size, have another in their group that lengths leave it open to be alike."""
+    near = (group[1:] == group[:-1]) & (size[:-1].astype(np.int64) * 100 >= size[1:].astype(np.int64) * least)
+    out = np.zeros(len(group), bool)
+    out[1:] |= near
+    out[:-1] |= near
+    return out
 
 
 def tables() -> list[list[int]]:
@@ -299,12 +293,12 @@ def _classes_of(batches: Iterator[pa.RecordBatch], parts: int, least: int) -> It
                 hashed, first, many = grams(raw, lines.start[own], size[own], gram, SAMPLED)
                 records = np.zeros(len(own), FULL)
                 records["name"], records["rest"] = digest[own].T
-                records["way"], records["sketch"], records["blocks"] = way, sketches(size[own], plain_simhash(hashed, first, many) & np.uint32(0xFFFFFF)), steep_blocks(hashed, first)
+                records["way"], records["size"], records["blocks"] = way, size[own], steep_blocks(hashed, first)
                 held[0].append(records)
         if len(single):
             records = np.zeros(len(single), SHORT)
             records["name"], records["rest"] = digest[single].T
-            records["size"], records["sketch"] = size[single], sketches(size[single], np.uint32(0))
+            records["size"] = size[single]
             at = np.minimum(lines.start[single][:, None] + np.arange(SHORT["points"].shape[0]), len(lines.points) - 1)
             records["points"] = lines.points[at]
             held[1].append(records)
@@ -334,13 +328,17 @@ def _entries_of(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
     found: list[tuple[np.ndarray, np.ndarray]] = [(keys, full) for keys in (table_keys(full["blocks"], full["way"].astype(np.uint64)) if len(full) else ())]
     for size in np.unique(short["size"]).tolist():
         own = short[short["size"] == size]
-        found += [(keys, own) for keys in form_keys(own["points"], size)]
+        # a character of a run leaves the same form whichever of them it is
+        keys = np.sort(form_keys(own["points"], size), axis=0)
+        fresh = np.ones(keys.shape, bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        found += [(k[new], own[new]) for k, new in zip(keys, fresh)]
     if not found:
         return
     key = np.concatenate([k for k, _ in found])
     entries = np.zeros(len(key), ENTRY)
     entries["key"] = key >> np.uint64(32)
-    entries["sketch"], entries["name"] = (np.concatenate([r[c] for _, r in found]) for c in ("sketch", "name"))
+    entries["size"], entries["name"] = (np.concatenate([r[c] for _, r in found]) for c in ("size", "name"))
     # values are counted where more than HOT share their upper bits
     part = (key % np.uint64(parts)).astype(np.int64)
     slot = (key >> np.uint64(44)).astype(np.int64)
@@ -351,7 +349,7 @@ def _entries_of(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
     cold = [(p, d, b"") for p, d in _packed(part[~hot], entries[~hot])]
     if len(values):
         marked = np.zeros(len(values), ENTRY)
-        marked["key"], marked["sketch"] = values >> np.uint64(32), 0xFFFFFFFF
+        marked["key"], marked["size"] = values >> np.uint64(32), MARK
         cold += [(p, d, b"") for p, d in _packed((values % np.uint64(parts)).astype(np.int64), marked)]
         rows = np.zeros(int(hot.sum()), np.dtype([("bucket", "<u8"), ("entry", ENTRY)]))
         rows["bucket"], rows["entry"] = bucket_of(entries["key"][hot], part[hot]), entries[hot]
@@ -366,7 +364,7 @@ def bucket_of(key: np.ndarray, part: np.ndarray) -> np.ndarray:
 
 
 def _members_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """bucket, node of the classes that have a possible partner in a bucket, and of all in large and hot buckets."""
+    """bucket, node, size of the classes that have a possible partner in a bucket, and of all in hot buckets."""
     held, part, passed = [], [], []
     for batch in batches:
         for p, entries, members in zip(*(batch.column(c).to_pylist() for c in ("part", "entries", "members"))):
@@ -376,7 +374,7 @@ def _members_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
                 held.append(np.frombuffer(entries, ENTRY)), part.append(np.full(len(entries) // ENTRY.itemsize, p, np.uint64))
 
     def rows(bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.ascontiguousarray(entries["name"]).view(np.int64))], names=["bucket", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.ascontiguousarray(entries["name"]).view(np.int64)), pa.array(entries["size"].astype(np.int64))], names=["bucket", "node", "size"])
 
     for raw in passed:
         own = np.frombuffer(raw, np.dtype([("bucket", "<u8"), ("entry", ENTRY)]))
@@ -386,21 +384,14 @@ def _members_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
     entries = np.concatenate(held)
     bucket = bucket_of(entries["key"], np.concatenate(part))
     order = np.argsort(bucket)
+    bucket = bucket[order]
+    same = bucket[1:] == bucket[:-1]
+    several = np.append(False, same) | np.append(same, False)
+    bucket, entries = bucket[several], entries[order[several]]
+    order = np.lexsort((entries["size"], bucket))
     bucket, entries = bucket[order], entries[order]
-    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    length = np.diff(np.append(starts, len(bucket)))
-    sketch, mark = entries["sketch"].copy(), (entries["name"] == 0) & (entries["sketch"] == 0xFFFFFFFF)
-    whole = (length > SMALL) | np.logical_or.reduceat(mark, starts)
-    kept = np.repeat(whole, length)
-    # forms meet by their value alone
-    kept |= (entries["key"] & np.uint32(1) == 1) & np.repeat(length > 1, length)
-    ends = np.repeat(starts + length, length)
-    at, apart = np.flatnonzero(np.repeat((length > 1) & ~whole, length) & ~kept), 1
-    while len(at := at[at + apart < ends[at]]):
-        other = at + apart
-        near = may_match(sketch[at], sketch[other], least)
-        kept[at[near]] = kept[other[near]] = True
-        apart += 1
+    mark = (entries["name"] == 0) & (entries["size"] == MARK)
+    kept = with_partner(bucket, entries["size"], least) | np.isin(bucket, bucket[mark])
     kept &= ~mark
     yield rows(bucket[kept], entries[kept])
 
@@ -424,42 +415,13 @@ def _lines_of(docs: DataFrame, texts: bool) -> DataFrame:
     return map_arrow(rows, run, "node long, line string" if texts else f"doc_id {id_type}, text_hash long, pos int, node long, rest long")
 
 
-def _features(texts: DataFrame, least: int) -> DataFrame:
-    """node, size and the wide SimHash h0, h1, ... of (node, line)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "line", most=1 << 20):
-            lines = Lines(part.column("line").to_pylist())
-            bits = wide_simhash(lines, least)
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(lines.size.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(2 * WORDS))], names=["node", "size", *BITS])
-
-    return map_arrow(texts, run, "node long, size int, " + ", ".join(f"{b} long" for b in BITS))
-
-
-def near_enough(size_a: np.ndarray, size_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, least: int) -> np.ndarray:
-    """Whether lengths and wide SimHashes leave it open that two lines are alike; where one edit is allowed, lengths alone."""
-    longer = np.maximum(size_a, size_b).astype(np.int64)
-    fits = np.minimum(size_a, size_b) * 100 >= longer * least
-    differing = np.bitwise_count(bits_a ^ bits_b)
-    close = np.where(longer < LONG, differing[..., :WORDS].sum(-1) <= FAR, differing[..., WORDS:].sum(-1) <= FAR_LONG)
-    return fits & (close | (longer * (100 - least) < 200))
-
-
 def _with_partners(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket those that have a possible partner in their bucket, which is named by who they are: equal sets get one name."""
+    """Of rows sorted by bucket and size those that have a possible partner in their bucket, which is named by who they are: equal sets get one name."""
     for batch, starts in whole_groups(batches, "bucket"):
-        size, bits = batch.column("size").to_numpy(), np.stack([batch.column(b).to_numpy().view(np.uint64) for b in BITS], axis=1)
-        kept = np.zeros(len(size), bool)
-        ends, at, apart = np.repeat(starts[1:], np.diff(starts)), np.arange(len(size)), 1
-        while len(at := at[at + apart < ends[at]]):
-            other = at + apart
-            near = near_enough(size[at], size[other], bits[at], bits[other], least)
-            kept[at[near]] = kept[other[near]] = True
-            apart += 1
-        who, hashed = np.zeros(len(starts) - 1, np.uint64), mix(batch.column("node").to_numpy().view(np.uint64))
+        bucket, node, size = (batch.column(c).to_numpy() for c in ("bucket", "node", "size"))
+        kept, hashed = with_partner(bucket, size, least), mix(node.view(np.uint64))
         hashed[~kept] = 0
-        if len(hashed):
-            who = mix(np.bitwise_xor.reduceat(hashed, starts[:-1]) + np.add.reduceat(kept, starts[:-1], dtype=np.uint64))
+        who = mix(np.bitwise_xor.reduceat(hashed, starts[:-1]) + np.add.reduceat(kept, starts[:-1], dtype=np.uint64))
         named = pa.array(np.repeat(who, np.diff(starts)).view(np.int64))
         yield pa.RecordBatch.from_arrays([named, *batch.columns[1:]], names=batch.schema.names).filter(pa.array(kept))
 
@@ -527,7 +489,6 @@ def _linked_within(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
     """
     for batch, starts in whole_groups(batches, "task"):
         nodes, comp, block, across = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "block", "across"))
-        bits = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in BITS], axis=1)
         for a, b in zip(starts.tolist(), starts[1:].tolist()):
             lines = batch.column("line").slice(a, b - a).to_pylist()
             open_ = np.triu(np.ones((b - a, b - a), bool), 1)
@@ -539,7 +500,9 @@ def _linked_within(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
             open_ &= label[:, None] != label[None, :]
             i, j = np.nonzero(_left_open(lines, open_, least))
             # the nearest first, so that groups join early
-            order = np.argsort(np.bitwise_count(bits[a + i] ^ bits[a + j]).sum(1), kind="stable")
+            own, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            bits = wide_simhash(Lines([lines[k] for k in own]), least)[place] if len(own) else np.zeros((0, 1), np.int64)
+            order = np.argsort(np.bitwise_count((bits[: len(i)] ^ bits[len(i) :]).view(np.uint64)).sum(1), kind="stable")
             i, j = i[order], j[order]
             while len(i):
                 some = min(len(i), max(256, b - a))
@@ -554,11 +517,11 @@ def _linked_within(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa
 
 
 def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """bucket, node: the classes of lines that share a bucket with a possible partner (a written table)."""
+    """bucket, node, size: the classes of lines that share a bucket with a possible partner (a written table)."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = map_arrow(docs.select("text").where(F.col("text") != ""), lambda x: _classes_of(x, parts, least), "part int, full binary, short binary")
     entries = map_arrow(packed.repartitionById(parts, F.col("part")), lambda x: _entries_of(x, parts), "part int, entries binary, members binary")
-    return written(map_arrow(entries.repartitionById(parts, F.col("part")), lambda x: _members_of(x, least), "bucket long, node long"), "members")
+    return written(map_arrow(entries.repartitionById(parts, F.col("part")), lambda x: _members_of(x, least), "bucket long, node long, size long"), "members")
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -566,35 +529,30 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     if not 80 <= least <= 100:
         raise ValueError("an edit similarity from 80 to 100 percent is required")
     members, parts = candidates(docs, least), max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    wanted = _maybe_broadcast(members.select("node").distinct())
-    texts = written(_lines_of(docs, True).join(wanted, "node").dropDuplicates(["node"]), "texts")
-    features = written(_features(texts, least), "features")
     large = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("bucket")
     large = _maybe_broadcast(written(large, "large"))
-    dealt = members.join(large, "bucket", "left_anti").join(features, "node").repartition("bucket").sortWithinPartitions("bucket")
-    columns = ["bucket", "node", F.struct("size", *BITS).alias("f")]
-    near = map_arrow(dealt.select("bucket", "node", "size", *BITS), lambda x: _with_partners(x, least), "bucket long, node long, size int, " + ", ".join(f"{b} long" for b in BITS)).dropDuplicates(["bucket", "node"]).select(*columns)
-    near = written(near.union(members.join(large, "bucket").join(features, "node").select(*columns)), "near")
+    dealt = members.join(large, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket", "size")
+    near = map_arrow(dealt, lambda x: _with_partners(x, least), "bucket long, node long, size long").union(members.join(large, "bucket"))
+    near = written(near.dropDuplicates(["bucket", "node"]).select("bucket", "node", F.struct("size").alias("f")), "near")
     drop_written(members)
+    wanted = _maybe_broadcast(near.select("node").distinct())
+    texts = written(_lines_of(docs, True).join(wanted, "node").dropDuplicates(["node"]), "texts")
 
     def possible(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
-        differing = [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS]
-        short, long_ = (reduce(Column.__add__, some) for some in (differing[:WORDS], differing[WORDS:]))
-        close = F.when(F.greatest(n, m) < LONG, short <= FAR).otherwise(long_ <= FAR_LONG)
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * least) & (close | (F.greatest(n, m) * (100 - least) < 200))
+        return F.least(n, m) * 100 >= F.greatest(n, m) * least
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("p")), texts.select(F.col("node").alias("b"), F.col("line").alias("q"))
         return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q"), lambda x: _alike_pairs(x, least), "a long, b long")
 
     def dense(rows: DataFrame) -> DataFrame:
-        tasks = blocks(rows, "bucket", "node", BLOCK).select("task", "across", "block", "node", "comp", "f.*").join(texts, "node")
+        tasks = blocks(rows, "bucket", "node", BLOCK).select("task", "across", "block", "node", "comp").join(texts, "node")
         dealt = tasks.repartition(parts, "task").sortWithinPartitions("task")
         return map_arrow(dealt, lambda x: _linked_within(x, least), "a long, b long")
 
-    comps = link_buckets(near, features, possible, verify, dense=dense)
-    drop_written(near, texts, features)
+    comps = link_buckets(near, texts, possible, verify, dense=dense)
+    drop_written(near, texts)
     every = written(_lines_of(docs, False), "occurrences")
     linked = _maybe_broadcast(comps.withColumnRenamed("node", "linked"))
     named = every.join(linked, F.col("node") == F.col("linked"), "left").select("doc_id", "text_hash", "pos", F.coalesce("comp", "node").alias("group"), F.when(F.col("comp").isNull(), F.col("rest")).otherwise(F.lit(0)).alias("side"), F.col("comp").isNotNull().alias("fuzzy"))

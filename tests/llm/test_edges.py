@@ -83,6 +83,16 @@ def test_near_duplicates(spark, odd, none):
     assert sorted(r["doc_id"] or 0 for r in minhash.keep_one(once).collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
+def test_linking_writes_only_tables_that_are_read_again(spark, monkeypatch):
+    # on a local store every file costs three processes, in each of which the tool may count the executor's memory once more
+    names, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or write(df, name))
+    members = spark.createDataFrame([(k, k // 2 * 10, (5,)) for k in range(8)] + [(k, 7, (5,)) for k in range(0, 8, 3)], "node long, bucket long, f struct<size: long>")
+    comps = graph.link_buckets(members, members, lambda x, y: F.lit(True), lambda pairs: pairs.where("b - a = 3 or b = a + 1"))
+    assert {r["node"]: r["comp"] for r in comps.collect()} == {k: 4 if k in (4, 5) else 0 for k in range(8)}
+    assert sorted(names) == ["central", "components", "components", "components", "edges", "edges", "grouped", "open-rows", "shared"]
+
+
 def test_crowded_bucket(spark):
     """A group of edited copies, most pairs of which aren't similar enough: the same components as by brute force."""
     rng = np.random.default_rng(1)

@@ -121,35 +121,31 @@ def link_buckets(members: DataFrame, features: DataFrame, possible: Callable[[st
     the others the open pairs are compared, if possible() allows, and the members of a bucket's largest component are on
     one side only.
     """
-    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(members.join(sizes, "bucket"), "shared")
     central = written(shared.groupBy("node").agg(F.sum("n").alias("reach")), "central")
     carried = "f" in members.columns
-    nodes = written(central.select("node") if carried else central.select("node").join(features, "node").select("node", F.struct(*features.columns).alias("f")), "nodes")
+    nodes = central if carried else written(central.select("node").join(features, "node").select("node", F.struct(*features.columns).alias("f")), "nodes")
     prepare(nodes.select("node"))
     placed = shared.drop("n").join(central, "node")
     grouped = written(placed if carried else placed.join(nodes, "node"), "grouped")
-    drop_written(sizes, shared, central, nodes)
+    drop_written(shared, *([central] if carried else [central, nodes]))
     pivots = grouped.groupBy("bucket").agg(F.max(F.struct("reach", "node", "f")).alias("m"))
-    pivots = written(pivots.select("bucket", F.col("m.node").alias("pivot"), F.col("m.f").alias("x")), "pivots")
+    pivots = pivots.select("bucket", F.col("m.node").alias("pivot"), F.col("m.f").alias("x"))
     near = grouped.withColumnRenamed("f", "y").join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & possible("x", "y"))
-    links = written(verify(near.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()), "links")
-    comps = components(links)
-    drop_written(pivots, links)
+    comps = components(verify(near.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()))
     named = grouped.join(comps, "node", "left").select("bucket", "node", "f", F.coalesce("comp", "node").alias("comp"))
     parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
     crowded = (F.col("all") * F.col("all") - F.col("same")) / 2 > CROWDED * F.col("all") if dense else F.lit(False)
-    opened = written(buckets.where(F.col("most.n") < F.col("all")).select("bucket", F.col("most.comp").alias("main"), crowded.alias("crowded")), "open")
+    opened = buckets.where(F.col("most.n") < F.col("all")).select("bucket", F.col("most.comp").alias("main"), crowded.alias("crowded"))
     rows = written(named.join(opened, "bucket"), "open-rows")
     minor = rows.where("comp <> main and not crowded").select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("f").alias("x"))
     others = rows.where("not crowded").select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("f").alias("y"))
     cross = minor.join(others, "bucket").where((F.col("comp_a") != F.col("comp_b")) & possible("x", "y"))
-    crossed = written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = verify(crossed)
+    links = verify(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if dense:
         links = links.union(dense(rows.where("crowded").select("bucket", "node", "comp", "f")))
-    links = written(links, "links")
     out = merged(comps, links)
-    drop_written(opened, rows, crossed, links, comps, grouped)
+    drop_written(rows, comps, grouped)
     return out

@@ -455,6 +455,22 @@ def test_token_files(spark, odd, none):
     assert ids.tolist() == [i for t in strange for i in [*own.encode(t, add_special_tokens=False).ids, 2]]
 
 
+def test_words_that_end_in_marks_need_only_the_merging_model():
+    path = P.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        encoder, whole = tokenfile.WordEncoder(file.read()), Tokenizer.from_file(path)
+    rng = np.random.default_rng(3)
+    marks = [*tokenfile.ENDING, "", "'s", "'", "\u2019", "\u00a0", "9"]
+    words = ["".join([*rng.choice([*"abcdefghijklmnopqrstuvwxyz\u00e9\u00df\u03c3\u0438"], rng.integers(1, 9)), *rng.choice(marks, rng.integers(0, 5))]) for _ in range(4000)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)] + ["", "Stra\u00dfe!! \u039f\u0394\u039f\u03a3. e\u0301!!\t\n a$$$  b&&&", "\x0b.\x85x ... <s> word<|endoftext|>!! </w>."]
+    ids, sizes = encoder.encode_many(texts, 2)
+    assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    sent = []
+    encoder.tokenizer = type("Watched", (), {"encode": lambda self, text, **k: sent.append(text) or whole.encode(text, **k)})()
+    encoder.encode_many(["unmet$$$ words!! of/// letters&&& \u00e9t\u00e9***"], 2)
+    assert not {*sent} - {"$$$", "!!", "///", "&&&", "***"}
+
+
 def test_mixing(spark, odd, none):
     got = mixing.mix_plan(odd).collect()
     assert len(got) == 10 and all(r["taken"] <= 2 * r["size"] for r in got)

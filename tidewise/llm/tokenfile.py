@@ -18,12 +18,14 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,8 @@ PRE_TOKENIZER = {
 MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
 _marks = re.compile("[\u0300-\u036f]").search
+#: At the end of a word a run of these is one piece.
+ENDING = string.punctuation
 
 
 def byte_letters() -> dict[int, str]:
@@ -87,10 +91,10 @@ class WordEncoder:
     """The tokenizers library behind a memory of words.
 
     For a tokenizer that lower-cases, drops white space and splits at it, a text's ids are those of its words one after
-    another, whatever the case of a to z (unless marks that combine with letters are about), and a lone stop
+    another, whatever the case of a to z (unless marks that combine with letters are about), and a run of ASCII marks
     after letters is a piece of its own. Words of plain letters that the normaliser leaves alone go straight to the
     library's merging model; all others through the whole tokenizer, told apart by the offsets it returns. That this
-    holds is checked on the tokenizer's own description, patterns and settings included; any other encodes whole texts.
+    holds is checked on the tokenizer's own description, patterns, settings and added tokens included; any other encodes whole texts.
     """
 
     def __init__(self, content: str):
@@ -100,51 +104,52 @@ class WordEncoder:
         self.model = self.tokenizer.model
         made = json.loads(content)
         settings = {k: v for k, v in made["model"].items() if k not in ("vocab", "merges")}
-        self.plain = made.get("normalizer") == NORMALIZER and made.get("pre_tokenizer") == PRE_TOKENIZER and made.get("post_processor") is None and settings == MODEL
+        added = [t["content"].rstrip(ENDING) for t in made.get("added_tokens", [])]
+        apart = all(x and not x.isalpha() for x in added)  # letters and marks after them hold no added token
+        self.plain = made.get("normalizer") == NORMALIZER and made.get("pre_tokenizer") == PRE_TOKENIZER and made.get("post_processor") is None and settings == MODEL and apart
         self.letters = byte_letters()
-        self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
         self._forget()
 
     def _forget(self) -> None:
         self.memory: dict[str, int] = {"": 0}
+        self.tails: dict[str, list[int]] = {"": []}
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _simple(self, word: str) -> bool:
         return word.isalpha() and (word.islower() if word.isascii() else word == word.lower() and unicodedata.is_normalized("NFC", word))
 
-    def _learn(self, fresh: list[str]) -> None:
-        found: list[list[int]] = []
-        rest: list[int] = []
-        tokenize, letters = self.model.tokenize, self.letters
-        stops = self.stops
-        for k, word in enumerate(fresh):
-            tail = stops.get(word[-1])
-            body = word if tail is None else word[:-1]
-            if self._simple(body):
-                ids = [t.id for t in tokenize(body if body.isascii() else body.encode().decode("latin-1").translate(letters))]
-                found.append(ids if tail is None else ids + tail)
-            else:
-                found.append([])
-                rest.append(k)
+    def _learn(self, fresh: list[str]) -> np.ndarray:
+        """Remember words that aren't known; the number that each gets."""
+        letters, simple = self.letters, self._simple
+        bodies = [word.rstrip(ENDING) for word in fresh]
+        direct = [simple(body) for body in bodies]
+        given = [body if body.isascii() else body.encode().decode("latin-1").translate(letters) for body in itertools.compress(bodies, direct)]
+        ends = [word[len(body) :] for word, body in itertools.compress(zip(fresh, bodies), direct)]
+        self.tails.update((end, self.tokenizer.encode(end, add_special_tokens=False).ids) for end in set(ends).difference(self.tails))
+        found = [[t.id for t in tokens] + self.tails[end] for tokens, end in zip(map(self.model.tokenize, given), ends)]
+        sizes = [np.fromiter(map(len, found), np.int64, len(found))]
+        ids = [np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes[0].sum()))]
+        rest = [word for word, known in zip(fresh, direct) if not known]
         for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            words = [fresh[k] for k in part]
+            words = rest[at : at + 20_000]
             coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
             starts = np.cumsum([0, *(len(w) + 1 for w in words)])
             owner = np.searchsorted(starts, np.array([o[0] for o in coded.offsets], np.int64), side="right") - 1
-            cuts, ids = np.searchsorted(owner, np.arange(len(words) + 1)).tolist(), coded.ids
-            for k, a, b in zip(part, cuts, cuts[1:]):
-                found[k] = ids[a:b]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        before = len(self.size)
-        self.memory.update(zip(fresh, range(before, before + len(fresh))))
+            sizes.append(np.bincount(owner, minlength=len(words)))
+            ids.append(np.array(coded.ids, np.uint32))
+        # those that went straight to the model come first
+        numbers = np.empty(len(fresh), np.int64)
+        numbers[np.argsort(~np.array(direct, bool), kind="stable")] = np.arange(len(self.size), len(self.size) + len(fresh))
+        self.memory.update(zip(fresh, numbers.tolist()))
+        size = np.concatenate(sizes)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, *ids])
+        return numbers
 
     def encode_many(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each followed by ``end``, and how many each has."""
-        if not self.plain:
+        if not self.plain or not texts:
             found = [[*self.tokenizer.encode(t, add_special_tokens=False).ids, end] for t in texts]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
@@ -154,20 +159,24 @@ class WordEncoder:
     def _encode_many(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memory) > REMEMBERED:
             self._forget()
-        words: list[str] = []
-        counts = []
+        cased, counts = [], []
         for text in texts:
+            raw = text.encode()
             if text.isascii() or not _marks(text):
-                text = text.encode().lower().decode()
-            own = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            words += own
-            counts.append(len(own) + 1)
-        known = np.fromiter(map(self.memory.get, words, itertools.repeat(-1)), np.int64, len(words))
-        fresh = np.flatnonzero(known < 0).tolist()
-        self._learn(list({words[k] for k in fresh}))
-        known[fresh] = np.fromiter((self.memory[words[k]] for k in fresh), np.int64, len(fresh))
+                raw = raw.lower()
+            raw = raw.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ")
+            cased.append(raw)
+            counts.append(raw.count(b" ") + 2)
+        # each different word of the texts is looked up once
+        words = pc.split_pattern(pa.array([b" ".join(cased)], pa.binary()), " ").values.dictionary_encode()
+        different = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), b" ")[0].as_py().decode().split(" ")
+        known = np.fromiter(map(self.memory.get, different, itertools.repeat(-1)), np.int64, len(different))
+        fresh = np.flatnonzero(known < 0)
+        if len(fresh):
+            known[fresh] = self._learn([different[k] for k in fresh.tolist()])
+        known = known[words.indices.to_numpy()]
         stops = np.cumsum(counts) - 1
-        at = np.full(len(words) + len(texts), -1, np.int64)
+        at = np.full(len(known) + len(texts), -1, np.int64)
         inner = np.ones(len(at), bool)
         inner[stops] = False
         at[inner] = known

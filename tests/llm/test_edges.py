@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns: each operator's defined results."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -206,6 +207,51 @@ def test_edit_similarity_equals_the_full_table():
         assert edits.alike(left, right, least).tolist() == true
 
 
+def edited(rng, line, letters, many):
+    """The line after so many edits, not all of which need to count."""
+    out = list(line)
+    for at, kind in zip(rng.integers(0, len(out), many).tolist(), rng.integers(0, 3, many).tolist()):
+        at = min(at, len(out))
+        out[at : at + (kind < 2)] = [str(rng.choice(letters))] if kind else []
+    return "".join(out)
+
+
+def test_edit_similarity_of_long_lines_equals_the_full_table(monkeypatch):
+    """Bands of one and of several words, with runs that carry from word to word, and the band of any length."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefgh\u00e9\U0001f642")
+    left, right = ["", "a", ""], ["", "", ""]
+    for size in [250, 630, 645] * 4:
+        a = "".join(rng.choice(letters, size))
+        left.append(a), right.append(edited(rng, a, letters, int(size * rng.choice([0.02, 0.11, 0.13, 0.16]))))
+    for a, b in (("a" * 400, "a" * 330 + "b" * 40), ("a" * 500, "b" * 30 + "a" * 420), ("a" * 200 + "b" * 300, "a" * 140 + "b" * 310), ("ab" * 200, "ba" * 200)):
+        left.append(a), right.append(b)
+    far = [distance(a, b) for a, b in zip(left, right)]
+    for least in (50, 80, 90):
+        true = [100 * d <= (100 - least) * max(len(a), len(b)) for d, a, b in zip(far, left, right)]
+        assert edits.alike(left, right, least).tolist() == true and edits.alike(right, left, least).tolist() == true
+        assert edits.alike(left[:1], right[:1], least).all()
+    monkeypatch.setattr(edits, "WORDS", 0)
+    assert edits.alike(left, right, 50).tolist() == [100 * d <= 50 * max(len(a), len(b)) for d, a, b in zip(far, left, right)]
+
+
+def test_edit_similarity_takes_little_time_a_pair():
+    """CPU time of 1,000 pairs of 500 characters near the threshold, in that of a loop of plain Python (about 1 ms)."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    left = ["".join(rng.choice(letters, 500)) for _ in range(1000)]
+    right = [edited(rng, a, letters, 60) for a in left]
+
+    def took(call):
+        begin = time.thread_time()
+        call()
+        return time.thread_time() - begin
+
+    unit = sorted(took(lambda: sum(range(50_000))) for _ in range(99))[49]
+    spent = min(took(lambda: edits.alike(left, right, 90)) for _ in range(3)) / unit
+    assert spent < 120, spent
+
+
 def test_hot_values_and_crowded_buckets_of_lines(spark):
     """A group of thousands of edited copies of a line, whose buckets are hot: one line stays, and others are left alone."""
     rng = np.random.default_rng(6)

@@ -1,5 +1,7 @@
 """Literal inputs and expected values of each operator, keyed and unkeyed."""
 
+from random import Random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,3 +392,57 @@ def test_generate_without_limit_and_using_in_both_orders(spark):
         with sources.using(lambda: 1, lambda x: sources.just(spark, x), lambda _: told.append("gone"), eager, lambda: told.append("done")) as seq_:
             assert values(seq_) == [1]
         assert told == expected
+
+
+def rows_made(df, name):
+    """Rows that the operators of a name made in the run of ``df.collect()``."""
+
+    def walk(node):
+        kind = node.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in kind:
+            return walk(node.plan())
+        own = node.metrics().get("numOutputRows").get().value() if kind == name else 0
+        return own + sum(walk(node.children().apply(k)) for k in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_endless_and_long_spans_have_few_cells(spark):
+    """Each of 300 spans would have up to 100,000 cells of the short ones' size."""
+    left = spark.range(300).select((F.col("id") * 10_000_000).alias("s"), F.when(F.col("id") % 3 == 0, 1 << 60).alias("e"))
+    right = spark.range(300).select((F.col("id") * 10_000_000 + 5).alias("rs"), (F.col("id") * 10_000_000 + 6).alias("re"))
+    for how in ("inner", "left"):
+        found = Seq(left, "s").join_overlapping(right, ("s", "e"), ("rs", "re"), how)
+        assert sorted((r["s"], r["rs"]) for r in found.collect()) == [(k * 10_000_000, n * 10_000_000 + 5) for k in range(300) for n in range(k, 300)]
+        assert rows_made(found, "Generate") < 10_000
+    assert Seq(right, "rs").join_overlapping(left, ("rs", "re"), ("s", "e")).count() == 300 * 301 // 2
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_overlaps_of_spans_of_all_lengths_equal_all_pairs(spark, kind, how):
+    random = Random(7)
+
+    def rows(n):
+        for k in range(n):
+            s = random.choice([None, *(random.randrange(1000) for _ in range(9))])
+            e = None if s is None or random.random() < 0.1 else s + random.choice([-2, 0, 1, 1, 2, 3, 7, 8, 9, 60, 500, 10**9])
+            yield random.choice([None, 1, 2]), k, s if s is None or kind == "long" else s + random.randrange(4) / 4, e if e is None or kind == "long" else e + random.randrange(4) / 4
+
+    a, b = list(rows(150)), list(rows(150))
+    left, right = (spark.createDataFrame(r, f"k long, {p}i long, {p}s {kind}, {p}e {kind}") for p, r in (("l", a), ("r", b)))
+
+    def full(s, e):
+        return s is not None and (e is None or e > s)
+
+    def meets(l, r):
+        return l[0] == r[0] and full(*l[2:]) and full(*r[2:]) and (r[3] is None or l[2] < r[3]) and (l[3] is None or r[2] < l[3])
+
+    want = [(l[1], r[1]) for l in a for r in b if meets(l, r)]
+    if how == "left":
+        want += [(l[1], None) for l in a if not any(meets(l, r) for r in b)]
+    for grain in (None, 1, 50):
+        found = Seq(left, "li", "k").join_overlapping(right, ("ls", "le"), ("rs", "re"), how, grain=grain)
+        assert sorted(((r["li"], r["ri"]) for r in found.collect()), key=str) == sorted(want, key=str)

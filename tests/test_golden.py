@@ -446,3 +446,34 @@ def test_overlaps_of_spans_of_all_lengths_equal_all_pairs(spark, kind, how):
     for grain in (None, 1, 50):
         found = Seq(left, "li", "k").join_overlapping(right, ("ls", "le"), ("rs", "re"), how, grain=grain)
         assert sorted(((r["li"], r["ri"]) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_group_join_of_near_spans_forms_no_pairs(spark):
+    left = spark.range(300).select(F.lit(None).cast("int").alias("k"), F.col("id").alias("s"), (F.col("id") + 1000).alias("e"))
+    right = spark.range(400).select(F.lit(None).cast("int").alias("k"), F.col("id").alias("rs"), (F.col("id") + 1000).alias("re"))
+    found = Seq(left, "s", "k").group_join(right, ("s", "e"), ("rs", "re"), F.col("rs"), ["rs"])
+    assert [r["matches"] for r in found.collect()] == [list(range(400))] * 300
+    assert sum(rows_made(found, n) for n in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin")) == 300
+
+
+@pytest.mark.parametrize("lengths", [[1, 2, 3], [-1, 0, 1, 9, 300, None], [5]])
+@pytest.mark.parametrize("others", [[1, 2, 3], [0, 7, 500, None]])
+def test_group_join_of_spans_of_all_lengths_equals_all_pairs(spark, lengths, others):
+    random = Random(3)
+
+    def rows(n, lengths):
+        for k in range(n):
+            s, d = random.choice([None, *(random.randrange(200) for _ in range(9))]), random.choice(lengths)
+            yield random.choice([None, 1]), k // 2, s, None if s is None or d is None else s + d
+
+    a, b = list(rows(80, lengths)), list(rows(80, others))
+    left, right = (spark.createDataFrame(r, f"k long, {p}i long, {p}s long, {p}e long") for p, r in (("l", a), ("r", b)))
+
+    def meets(l, r):
+        full = all(x[2] is not None and (x[3] is None or x[3] > x[2]) for x in (l, r))
+        return full and l[0] == r[0] and (r[3] is None or l[2] < r[3]) and (l[3] is None or r[2] < l[3])
+
+    want = sorted(([*l, sorted(r[1] for r in b if meets(l, r))] for l in a), key=str)
+    for grain in (None, 2, 100):
+        found = Seq(left, "li", "k").group_join(right, ("ls", "le"), ("rs", "re"), F.col("ri"), ["ri"], grain=grain)
+        assert sorted(([*r] for r in found.collect()), key=str) == want

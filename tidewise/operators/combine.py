@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.order import keyed_join, numbered, overlapping, running, tagged
+from ..plans.order import grouped, keyed_join, numbered, overlapping, running, tagged
 
 
 class Combine:
@@ -85,12 +85,7 @@ class Combine:
 
     def group_join(self, other: DataFrame, span: tuple[str, str], other_span: tuple[str, str], value: Column, order: Sequence[str], name: str = "matches", grain: int | None = None) -> DataFrame:
         """Each row with the ordered list of the values of the other's overlapping rows; an empty list where there are none."""
-        # rows are told apart by a number, so that repeated rows stay as many as they are
-        numbered_rows = self.df.withColumn("_nr", F.monotonically_increasing_id())
-        joined = overlapping(numbered_rows, other.withColumn("_hit", F.lit(True)), list(self.key), span, other_span, "left", grain)
-        item = F.when(F.col("_hit"), F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), value.alias("v")))
-        gathered = joined.groupBy("_nr", *self.df.columns).agg(F.sort_array(F.collect_list(item)).alias("_all"))
-        return gathered.select(*self.df.columns, F.transform("_all", lambda s: s["v"]).alias(name))
+        return grouped(self.df, other, list(self.key), span, other_span, value, order, name, grain)
 
 
 def concat(*sequences):

@@ -477,3 +477,11 @@ def test_group_join_of_spans_of_all_lengths_equals_all_pairs(spark, lengths, oth
     for grain in (None, 2, 100):
         found = Seq(left, "li", "k").group_join(right, ("ls", "le"), ("rs", "re"), F.col("ri"), ["ri"], grain=grain)
         assert sorted(([*r] for r in found.collect()), key=str) == want
+
+
+def test_overlap_join_of_one_file_is_dealt_to_many_tasks(spark):
+    """Pairs are the work, so neither a broadcast of a small side nor merged small shuffles leave them to one task."""
+    rows = spark.range(0, 20_000, 1, 1).select((F.col("id") * 10).alias("s"), (F.col("id") * 10 + 15).alias("e"))
+    found = Seq(rows, "s").join_overlapping(rows.withColumnsRenamed({"s": "rs", "e": "re"}), ("s", "e"), ("rs", "re"))
+    tasks = found.groupBy(F.spark_partition_id().alias("t")).count().collect()
+    assert sum(r["count"] for r in tasks) == 3 * 20_000 - 2 and len(tasks) >= 8 and max(r["count"] for r in tasks) < 15_000
